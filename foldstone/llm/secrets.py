@@ -158,8 +158,9 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     rest = lambda state: F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(text)
-    columns = [clean.alias("text") if c == "text" else F.coalesce(F.length(clean), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    length = F.coalesce(F.length("__clean"), F.lit(0))
+    swap = {"text": F.col("__clean"), "n_chars": length.cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else length}
+    return found.withColumn("__clean", clean).select(*[swap.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
