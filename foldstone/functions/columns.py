@@ -81,8 +81,15 @@ def colour(score: Column) -> Column:
 
 
 def two_digits(value: Column) -> Column:
-    """Text with two digits after the point, rounded half to even as printf does; format_string alone rounds half up."""
-    return F.format_string("%.2f", (F.rint(value.cast("double") * 100) / 100).cast("double"))
+    """Text with two digits after the point, as printf rounds: by the exact binary value, ties to even. The product with
+    100 is split into its rounded part and the rest, which decides where the rounded part looks like a tie."""
+    x = value.cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * 100.0
+    rest = (high * 100.0 - product) + (x - high) * 100.0
+    low = F.floor(product).cast("double")
+    whole = F.when((product - low == 0.5) & (rest != 0), F.when(rest > 0, low + 1).otherwise(low)).otherwise(F.rint(product))
+    return F.format_string("%.2f", whole / 100)
 
 
 # Transverse Mercator on WGS84, zone 45 north: radius, flattening, scale, central meridian, false easting.
