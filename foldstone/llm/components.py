@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v: long); the label is the component's smallest node.
 
     Each round links neighbours to the smallest node next to them; the number of rounds follows the logarithm of the
-    nodes. A round's table is written to the shared folder; minima are taken map-side first, and the joins are against one
-    row a node, so that a node with many links is split over tasks. No link is collected.
+    nodes. A round's tables are written to the shared folder; minima are taken map-side first and written before they are
+    joined, one row a node, so that both sides of the join are shuffled for it and a node with many links is split over
+    tasks. No link is collected.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = materialize(pairs, "links")
@@ -26,8 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        least = materialize(least, "least")
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        large = materialize(large, "large")
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "lowest")
         small = large.join(lowest, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = materialize(small.where("u <> v").distinct(), "links")
         after = _state(pairs)

@@ -177,12 +177,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = classes.select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    buckets = materialize(buckets, "buckets")  # so that the join may split a bucket of many classes
     ties = bands.join(buckets, "band").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     parts = materialize(connected_components(ties), "parts")
 
     members = classes.join(parts, "node").select("node", F.col("label").alias("part"), "doc_id", "h1", "h2", "sketch", "n")
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(materialize(sizes, "sizes"), "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     named = source.withColumnRenamed("doc_id", "id")
     texts = named.join(members, named["id"].eqNullSafe(members["doc_id"])).drop("id", "doc_id")
     fields = "node long, part long, blocks int, block int, sketch binary, shingles binary"
