@@ -82,6 +82,7 @@ def _marked(docs: DataFrame, bits: int) -> DataFrame:
     chunks = materialize(_chunks(docs, bits), "chunks")
     here = F.struct("id", "text_key", "place")
     several = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
+    several = materialize(several, "several")  # so that the join may split a chunk with many places
     marks = chunks.join(several, "hash").select("id", "text_key", F.struct("place", "hash", here.eqNullSafe(F.col("first")).alias("first")).alias("mark"))
     marks = marks.groupBy(F.col("id").alias("__mark_id"), F.col("text_key").alias("__mark_key")).agg(F.collect_set("mark").alias("__marks"))
     keyed = docs.withColumns({"__id": _key(docs)[0], "__text_key": _key(docs)[1]})
@@ -108,7 +109,8 @@ def _refuted(marked: DataFrame) -> DataFrame:
 
     rows = marked.where("__marks is not null").select("__id", "__text_key", "__marks", "text")
     rows = rows.mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, bytes binary")
-    firsts = rows.where("first").groupBy("hash").agg(F.min("bytes").alias("kept"))
+    rows = materialize(rows, "places")
+    firsts = materialize(rows.where("first").groupBy("hash").agg(F.min("bytes").alias("kept")), "firsts")
     unlike = rows.where("not first").join(firsts, "hash").where("bytes <> kept")
     return unlike.groupBy(F.col("id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).agg(F.collect_set("place").alias("__unlike"))
 
