@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = connected_components(links)
 
     named = classes.select("node", "h1", "h2", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(named, "labelled")
+    first = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     answer = named.join(first, "label").select("h1", "h2", "component_id")
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(answer, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
