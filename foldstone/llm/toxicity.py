@@ -31,8 +31,8 @@ class Settings:
     features: int = 8192
     min_texts: int = 5
     alpha: float = 1.0
-    l2: float = 1.0
-    steps: int = 150
+    l2: float = 0.05
+    steps: int = 400
     max_rows: int = 12_000
 
 
