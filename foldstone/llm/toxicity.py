@@ -1,9 +1,10 @@
 """Toxicity: a character n-gram linear classifier under naive Bayes log-count ratios.
 
 Features are the hashed character n-grams that a lower-cased text holds (presence, not counts). Each is scaled by its
-log-count ratio between the two classes; a logistic model is fitted on the scaled features. The counts come from all
-training rows, map-side first, as at most ``2 ** bits`` rows; the features with the largest ratios that enough texts hold
-are kept. The weights are fitted on at most ``max_rows`` training rows (those with the lowest hashes), the documented bound
+log-count ratio between the two classes and the scaled features of a text to unit length, so that a long text is judged like
+a short one; a logistic model is fitted on them. The counts come from all training rows, map-side first, as at most
+``2 ** bits`` rows; of the features that enough texts hold, those whose shares in the two classes differ by ``least_z``
+standard errors are kept, the most different ones first. The weights are fitted on at most ``max_rows`` training rows (those with the lowest hashes), the documented bound
 of what the driver gathers. Scoring is one scan: the weights are a fixed-size table.
 
 Defined cases: null and empty texts have no features and score by the intercept alone; labels without a document, or
@@ -30,17 +31,20 @@ class Settings:
     bits: int = 20
     features: int = 8192
     min_texts: int = 5
+    least_z: float = 4.0
     alpha: float = 1.0
-    l2: float = 0.05
+    l2: float = 0.1
     steps: int = 400
     max_rows: int = 12_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """``weight`` by feature bucket (0 where not kept); the log-count ratio is multiplied in."""
+    """``weight`` (the log-count ratio is multiplied in) and ``square`` (of that ratio, for a text's length) by feature
+    bucket, both 0 where not kept."""
 
     weight: np.ndarray
+    square: np.ndarray
     intercept: float
     settings: Settings
 
@@ -137,14 +141,17 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     clean, toxic = class_counts(train, settings)
     totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    weight = np.zeros(1 << settings.bits, np.float32)
+    weight, square = np.zeros(1 << settings.bits, np.float32), np.zeros(1 << settings.bits, np.float32)
     if not n0 or not n1:
         share = 1.0 if n1 else 0.0
-        return Model(weight, 40.0 if share else -40.0, settings)
+        return Model(weight, square, 40.0 if share else -40.0, settings)
     ratio = np.log((toxic + settings.alpha) / (n1 + 2 * settings.alpha)) - np.log((clean + settings.alpha) / (n0 + 2 * settings.alpha))
     held = np.flatnonzero(clean + toxic >= settings.min_texts)
-    strength = np.abs(ratio[held]) * np.sqrt(toxic[held] / n1 + clean[held] / n0)
-    kept = np.sort(held[np.lexsort((held, -strength))[: settings.features]])
+    share = (clean + toxic)[held] / (n0 + n1)
+    error = np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+    apart = np.abs(toxic[held] / n1 - clean[held] / n0) / np.maximum(error, 1e-12)
+    strong, held = -apart[apart >= settings.least_z], held[apart >= settings.least_z]
+    kept = np.sort(held[np.lexsort((held, strong))[: settings.features]])
     place = np.full(1 << settings.bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
@@ -162,17 +169,24 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     columns = np.asarray(lists.flatten())
     rows = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()))
     scale = ratio[kept]
-    w, b = fit_logistic(rows, columns, scale[columns], y, len(kept), settings)
-    weight[kept] = w * scale
-    return Model(weight, float(b), settings)
+    weight[kept], square[kept] = scale, scale**2
+    values = scale[columns] / _length(rows, square[kept][columns], len(y))[rows]
+    w, b = fit_logistic(rows, columns, values, y, len(kept), settings)
+    weight[kept] *= w
+    return Model(weight, square, float(b), settings)
+
+
+def _length(owner: np.ndarray, squares: np.ndarray, texts: int) -> np.ndarray:
+    """The length of each text's vector, 1 where it has no feature."""
+    found = np.sqrt(np.bincount(owner, squares, minlength=texts))
+    return np.where(found > 0, found, 1.0)
 
 
 def score_texts(texts: list[str], model: Model) -> np.ndarray:
     owner, bucket = gram_places(texts, model.settings)
-    w = model.weight[bucket]
-    live = w != 0
+    live = model.square[bucket] > 0
     owner, bucket = _present(owner[live], bucket[live], model.settings.bits)
-    z = np.bincount(owner, model.weight[bucket], minlength=len(texts)) + model.intercept
+    z = np.bincount(owner, model.weight[bucket], minlength=len(texts)) / _length(owner, model.square[bucket], len(texts)) + model.intercept
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
