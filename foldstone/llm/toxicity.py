@@ -209,6 +209,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, label) of the labelled documents that are not held out. A repeated label counts once, as its
-    largest; repeated documents stay. The label side is narrow, and the text side is cut by the join."""
+    largest; repeated documents stay. Labels grow with the documents, so they are never broadcast: the join is planned
+    alike at every size, and the labels are written first so that it may split an id of many rows."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    return docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(marks, "doc_id")
+    marks = materialize(marks, "toxicity-labels")
+    return docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(marks.hint("merge"), "doc_id")
