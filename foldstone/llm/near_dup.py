@@ -13,13 +13,15 @@
 
 A pair at exactly 0.75 shares no band with probability (1 - 0.75 ** 5) ** 40, about 2e-5, and less above; the sketch's limit
 lies five standard deviations from it. Defined cases: a text without words has the empty set and is linked with nothing;
-with fewer words than a shingle the whole sequence is the one shingle; rows of equal id and text stand or fall together;
-rows without id take part, and a component's id is the smallest id there is.
+with fewer words than a shingle the whole sequence is the one shingle; rows of equal id and text stand or fall together
+in ``near_duplicates``, while ``keep_one`` keeps one row of a group; rows without id take part, and a component's id is the
+smallest id there is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +104,9 @@ def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
     pick = pa.array(place, pa.int64(), mask=place < 0)
     bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found["at"]) + 1) * BANDS, pa.int32()), pa.array(found["bands"].ravel()))
     columns = [pa.array(found["h1"]), pa.array(found["h2"]), pa.array([r.tobytes() for r in found["sketch"]], pa.binary()), bands]
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts), pa.int64()), *(c.take(pick) for c in columns)], schema=_SIGNED)
+    more = [c for c in part.schema.names if c not in ("doc_id", "text")]
+    schema = pa.schema([*_SIGNED, *(pa.field(c, pa.int64()) for c in more)])
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts), pa.int64()), *(c.take(pick) for c in columns), *(part.column(c) for c in more)], schema=schema)
 
 
 def _alike(one: np.ndarray, other: np.ndarray) -> bool:
@@ -167,11 +171,13 @@ def _links(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(per_slice(source, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, bands array<long>"), "signatures")
+def _linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``keyed`` (doc_id, text and further long columns, which stay), and its sets: h1, h2, doc_id (the
+    smallest) and label, equal for linked sets."""
+    ship(keyed.sparkSession)
+    source = keyed.select("doc_id", "text")
+    more = "".join(f", {c} long" for c in keyed.columns if c not in ("doc_id", "text"))
+    signed = materialize(per_slice(keyed, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, bands array<long>" + more), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -206,7 +212,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = connected_components(links)
 
     named = classes.select("node", "h1", "h2", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named, "labelled")
+    return signed, materialize(named, "labelled")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    signed, named = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     first = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     answer = named.join(first, "label").select("h1", "h2", "component_id")
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(answer, ["h1", "h2"], "left")
@@ -226,9 +237,23 @@ def signatures_only(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of one with a smaller id; all columns as they were."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id (rows without id come last); all
+    columns as they were. Rows are told apart by id and two hashes of the text; of rows equal in these any one stays."""
+    key = {"__id": F.col("doc_id").cast("long"), "__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
+    signed, named = _linked(docs.select(key["__id"].alias("doc_id"), "text", *[key[k].alias(k) for k in ("__k1", "__k2")]))
+    rows = signed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), "__k1", "__k2", "h1", "h2").agg(F.count(F.lit(1)).alias("c"))
+    rows = materialize(rows.join(named.select("h1", "h2", "label"), ["h1", "h2"]).drop("h1", "h2"), "members")
+    rank = F.struct(F.col("__id").isNull().alias("none"), "__id", "__k1", "__k2")
+    firsts = materialize(rows.groupBy("label").agg(F.min(rank).alias("first")), "firsts")
+    found = rows.join(firsts, "label").withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or c > 1")
+    found = materialize(found.select(*[F.col(k).alias(f"{k}_of") for k in key], "stays"), "found")
+    keyed = docs.withColumns(key)
+    same = lambda other: reduce(lambda a, b: a & b, [keyed[k].eqNullSafe(other[f"{k}_of"]) for k in key])
+    out = keyed.join(found, same(found), "left_anti")
+    repeated = found.where("stays")
+    if repeated.limit(1).count():
+        out = out.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([*key]))
+    return out.drop(*key)
 
 
 def oracle() -> str:

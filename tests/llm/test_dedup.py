@@ -173,6 +173,18 @@ def test_near_duplicate_cases(documents, empty):
     assert kept.columns == documents.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a"), 0), (1, text("a"), 1), (None, text("b"), 2), (None, text("c"), 3), (None, text("c"), 4), (None, text("c").upper(), 5)]
+    rows += [(2, text("a"), 6), (2, text("d"), 7), (7, text("e"), 8), (7, text("e"), 9), (8, text("e") + " more", 10), (None, "", 11), (None, None, 12), (9, "", 13), (9, "", 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    kept = near_dup.keep_one(docs)
+    got = {r["row"] for r in kept.collect()}
+    assert kept.columns == docs.columns and kept.count() == 9
+    assert {1, 2, 7, 11, 12, 13, 14} <= got and not got & {0, 6, 10}
+    assert len(got & {3, 4, 5}) == 1 and len(got & {8, 9}) == 1
+
+
 # --- pipeline and SQL
 
 
