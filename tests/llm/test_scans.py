@@ -273,6 +273,22 @@ def test_bands_reject_repetition_and_noise(documents, empty):
     assert quality.keep_good(documents).columns == documents.columns
 
 
+def test_random_ascii_is_noise_in_every_band():
+    import base64
+    import random
+    import string
+
+    rng, limits, packer = random.Random(5), quality.Limits(), zstandard.ZstdCompressor(level=3)
+    printable = string.ascii_letters + string.digits + string.punctuation
+    for size in (250, 950, 1500, 3900, 6000, 20_000, 100_000):
+        runs = base64.b64encode(rng.randbytes(size)).decode()
+        coded = "\n".join(runs[i : i + 76] for i in range(0, size, 76)).encode()
+        words = " ".join("".join(rng.choice(printable) for _ in range(20)) for _ in range(size // 21 + 1)).encode()
+        for noise in (coded, words):
+            _, share, fits = quality.compression_verdict(noise, limits, packer)
+            assert not fits and (len(noise) < 8192 or share > 0.9)
+
+
 # --- 9 ring
 
 
