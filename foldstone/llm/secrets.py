@@ -3,7 +3,8 @@
 Patterns give base spans. Candidates are runs of a character class; over each, a window slides one character at a time and
 its Shannon entropy follows from the counts of the character that leaves and the one that comes: with S the sum of
 c * log2(c) over the window's counts, H = log2(W) - S / W, and only two counts change a step. A candidate whose best window
-reaches the limit of its class is a span unless the allow-list covers it or a base span holds it.
+reaches the limit of its class is a span unless a base span holds it. Stretches of the allow-list are cut out first, and
+a candidate is a span whole if any part left between them tells.
 
 Positions are code points, ends exclusive. They come from the lengths of the matches and of the texts between them, so
 nothing leaves the JVM and nothing is shuffled.
@@ -54,6 +55,18 @@ ALLOW = (
     r"^(sha(1|256|384|512)|md5)[-_]",  # named digests
 )
 
+#: What an allowed stretch covers: a stand-in its own token, up to 32 letters and digits on each side; a named digest as
+#: many characters as it has hexadecimal digits; else itself. The rest of a candidate is judged without it.
+CUT = "|".join(
+    (
+        r"(.)\1{7,}",
+        *(rf"^{name}[-_][A-Za-z0-9+/_-]{{0,{digits}}}" for name, digits in (("md5", 32), ("sha1", 40), ("sha256", 64), ("sha384", 96), ("sha512", 128))),
+        r"(?i:^(?:0123456789abcdef)+)",
+        r"(?i:abcdefghijklm(?:nopqrstuvwxyz)?(?:0123456789)?)",
+        r"[A-Za-z0-9]{0,32}(?i:example|sample|dummy|placeholder|changeme|redacted|xxxx)[A-Za-z0-9]{0,32}",
+    )
+)
+
 
 def _located(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
     """Spans of all leftmost matches of ``pattern`` for which ``keep(match)`` holds, in order."""
@@ -109,9 +122,11 @@ def best_entropy(candidate: Column, width: int) -> Column:
 
 
 def _tells(match: Column, found: EntropyClass) -> Column:
-    named = reduce(lambda a, b: a & b, [match.rlike(p) for p in found.needs])
+    named = lambda x: reduce(lambda a, b: a & b, [x.rlike(p) for p in found.needs])
     allowed = reduce(lambda a, b: a | b, [match.rlike(p) for p in ALLOW])
-    return F.when(named & ~allowed, best_entropy(match, found.width) >= found.least).otherwise(False)
+    enough = lambda x: best_entropy(x, found.width) >= found.least
+    rest = F.filter(F.split(match, CUT, -1), lambda x: (F.length(x) >= found.width) & named(x))
+    return F.when(named(match), F.when(allowed, F.exists(rest, enough)).otherwise(enough(match))).otherwise(False)
 
 
 def entropy_spans(text: Column) -> Column:

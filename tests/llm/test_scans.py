@@ -111,6 +111,22 @@ def test_redaction(spark, documents):
     assert secrets.redact(documents).columns == documents.columns and secrets.redact(documents).count() == 8
 
 
+def test_allowed_stretches_hide_no_more_than_themselves(spark):
+    import base64
+
+    key, body = "Zq8x7TnV0bLw2Rk5YpD3aGm1Hc", np.random.default_rng(2).bytes(300)
+    run = "AAAAAAAAA" + base64.b64encode(body).decode().rstrip("=")
+    long = base64.b64encode(body).decode().replace("+", "a").replace("/", "b").rstrip("=")
+    shown = [f"/srv/sample/{key}", run, long[:200] + "xxxx" + long[200:], f"sha256-{long[:64]}/{key}"]
+    hidden = ["EXAMPLEZq8x7TnV0bLw2Rk5YpD3", "sha512-" + long[:86], "/srv/sample/of/Some/plain/name/v1", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "Zq8x7" + "A" * 40]
+    docs = spark.createDataFrame(list(enumerate(shown + hidden)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert all(f"base64_entropy:0:{len(t)}" in found[i] for i, t in enumerate(shown))
+    assert not any(found[len(shown) + i] for i in range(len(hidden))), found
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert not any(key in left[i] or long[:40] in left[i] for i in range(len(shown)))
+
+
 # --- 4 fingerprints
 
 
