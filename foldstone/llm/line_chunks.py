@@ -3,9 +3,13 @@
 A rolling hash over the hashes of the last ``WINDOW`` lines decides after which lines a chunk ends, so inserted or deleted
 lines move no boundary beyond their neighbours. A line of ``LONG`` words or more is a chunk by itself. Chunks of two lines
 or more, and long lines, are looked up over the whole corpus: where one stands in several places, the first (by doc_id, text
-hash and place) stays, and the others go once their bytes have been compared with it.
+hash and place) stays, and the others go once 256-bit digests of their bytes have been compared with it.
 
-Only 128-bit hashes and places are shuffled to find repeats; bytes travel for repeated chunks alone; the texts are
+With ``passages`` (the query; the pipeline's stage keeps to chunks), so are the shortest windows of whole lines that reach ``LONG`` words from
+each line on and back from each line. Every line of a repeated passage of ``LONG`` words lies in one that the passage holds,
+so the passage goes whole, however its lines are chunked. A line goes with an earlier copy of itself, so one copy stays.
+
+Only 128-bit hashes and places are shuffled to find repeats; digests travel for repeated chunks alone; the texts are
 shuffled once, to meet their marks. A chunk that half of all documents share is counted map-side, and joined as a skewed key.
 
 Defined cases: null texts stay null, empty texts empty; chunks of fewer than ``LEAST`` words stay; a document of which
@@ -15,6 +19,7 @@ nothing is left has an empty text; rows of equal id and text are one document an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +55,33 @@ def removable(begin: int, end: int, words: int) -> bool:
     return words >= LONG or end - begin > 1 and words >= LEAST
 
 
+def least_windows(lines: list[bytes]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest windows of ``LONG`` words or more from each line, and up to each."""
+    counts = [len(x.split()) for x in lines]
+    out, total, begin = set(), 0, 0
+    for i, c in enumerate(counts):
+        total += c
+        while total - counts[begin] >= LONG:
+            total -= counts[begin]
+            begin += 1
+        if c and total >= LONG:
+            out.add((begin, i + 1))
+    total, end = 0, len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        total += counts[i]
+        while total - counts[end - 1] >= LONG:
+            end -= 1
+            total -= counts[end]
+        if counts[i] and total >= LONG:
+            out.add((i, end))
+    return out
+
+
+def looked_up(lines: list[bytes], passages: bool) -> list[tuple[int, int]]:
+    found = {(a, b) for a, b, words in chunk_ends(lines) if removable(a, b, words)}
+    return sorted(found | least_windows(lines) if passages else found)
+
+
 def _hash(data: bytes, bits: int) -> bytes:
     return (xxhash.xxh3_128_intdigest(data) >> 128 - bits).to_bytes(16, "big")
 
@@ -58,32 +90,32 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text_key")]
 
 
-def _chunks(docs: DataFrame, bits: int) -> DataFrame:
-    schema = pa.schema([("hash", pa.binary()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32())])
+def _chunks(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
+    schema = pa.schema([("hash", pa.binary()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[] for _ in schema]
                 for doc, key, text in zip(part.column("__id").to_pylist(), part.column("__text_key").to_pylist(), as_bytes(part.column("text"))):
                     lines = text.split(b"\n")
-                    for place, (a, b, words) in enumerate(chunk_ends(lines)):
-                        if removable(a, b, words):
-                            for column, value in zip(out, (_hash(b"\n".join(lines[a:b]), bits), doc, key, place)):
-                                column.append(value)
+                    for a, b in looked_up(lines, passages):
+                        for column, value in zip(out, (_hash(b"\n".join(lines[a:b]), bits), doc, key, a, b - a)):
+                            column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(*_key(docs), "text").mapInArrow(over, "hash binary, id long, text_key long, place int")
+    return docs.select(*_key(docs), "text").mapInArrow(over, "hash binary, id long, text_key long, place int, size int")
 
 
-def _marked(docs: DataFrame, bits: int) -> DataFrame:
-    """``docs`` and, where it has chunks that stand in several places, ``__marks`` with their place, hash and whether
-    this is the first of them."""
-    chunks = materialize(_chunks(docs, bits), "chunks")
-    here = F.struct("id", "text_key", "place")
+def _marked(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
+    """``docs`` and, where it has chunks that stand in several places, ``__marks`` with their place, hash, whether
+    this is the first of them and whether it overlaps the first, as in a run of like lines."""
+    chunks = materialize(_chunks(docs, bits, passages), "chunks")
+    here = F.struct("id", "text_key", "place", "size")
     several = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
     several = materialize(several, "several")  # so that the join may split a chunk with many places
-    marks = chunks.join(several, "hash").select("id", "text_key", F.struct("place", "hash", here.eqNullSafe(F.col("first")).alias("first")).alias("mark"))
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("place") < F.col("first.place") + F.col("first.size"))
+    marks = chunks.join(several, "hash").select("id", "text_key", F.struct("place", "size", "hash", here.eqNullSafe(F.col("first")).alias("first"), overlaps.alias("overlaps")).alias("mark"))
     marks = marks.groupBy(F.col("id").alias("__mark_id"), F.col("text_key").alias("__mark_key")).agg(F.collect_set("mark").alias("__marks"))
     keyed = docs.withColumns({"__id": _key(docs)[0], "__text_key": _key(docs)[1]})
     met = keyed.join(marks, keyed["__id"].eqNullSafe(marks["__mark_id"]) & (keyed["__text_key"] == marks["__mark_key"]), "left")
@@ -92,7 +124,7 @@ def _marked(docs: DataFrame, bits: int) -> DataFrame:
 
 def _refuted(marked: DataFrame) -> DataFrame:
     """(__id, __text_key, places) of marked chunks whose bytes are not those of the first with their hash."""
-    schema = pa.schema([("hash", pa.binary()), ("first", pa.bool_()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("hash", pa.binary()), ("first", pa.bool_()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,31 +132,31 @@ def _refuted(marked: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in schema]
                 for doc, key, marks, text in zip(part.column("__id").to_pylist(), part.column("__text_key").to_pylist(), part.column("__marks").to_pylist(), as_bytes(part.column("text"))):
                     lines = text.split(b"\n")
-                    ends = chunk_ends(lines)
                     for m in marks:
-                        a, b, _ = ends[m["place"]]
-                        for column, value in zip(out, (m["hash"], m["first"], doc, key, m["place"], b"\n".join(lines[a:b]))):
+                        data = b"\n".join(lines[m["place"] : m["place"] + m["size"]])
+                        for column, value in zip(out, (m["hash"], m["first"], doc, key, m["place"], m["size"], blake2b(data, digest_size=32).digest())):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     rows = marked.where("__marks is not null").select("__id", "__text_key", "__marks", "text")
-    rows = rows.mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, bytes binary")
+    rows = rows.mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, size int, digest binary")
     rows = materialize(rows, "places")
-    firsts = materialize(rows.where("first").groupBy("hash").agg(F.min("bytes").alias("kept")), "firsts")
-    unlike = rows.where("not first").join(firsts, "hash").where("bytes <> kept")
-    return unlike.groupBy(F.col("id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).agg(F.collect_set("place").alias("__unlike"))
+    firsts = materialize(rows.where("first").groupBy("hash").agg(F.min("digest").alias("kept")), "firsts")
+    unlike = rows.where("not first").join(firsts, "hash").where("digest <> kept")
+    return unlike.groupBy(F.col("id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).agg(F.collect_set(F.struct("place", "size")).alias("__unlike"))
 
 
-def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128) -> DataFrame:
+def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passages: bool = False) -> DataFrame:
     """``docs`` with repeated chunks gone from ``text`` and ``n_chars`` to match; with ``extra``, also ``n_lines``,
-    ``n_removed`` lines. ``bits`` below 128 weaken the hash, for tests of the byte comparison."""
+    ``n_removed`` lines. ``passages`` removes repeated windows of lines too. ``bits`` below 128 weaken the hash, for tests
+    of the comparison."""
     ship(docs.sparkSession)
-    marked = _marked(docs, bits)
+    marked = _marked(docs, bits, passages)
     refuted = materialize(_refuted(marked), "refuted")
     if refuted.limit(1).count():
         marked = marked.join(refuted, marked["__id"].eqNullSafe(refuted["__bad_id"]) & (marked["__text_key"] == refuted["__bad_key"]), "left").drop("__bad_id", "__bad_key")
     else:
-        marked = marked.withColumn("__unlike", F.lit(None).cast("array<int>"))
+        marked = marked.withColumn("__unlike", F.lit(None).cast("array<struct<place:int,size:int>>"))
     names = docs.columns
     schema = docs.schema
     if extra:
@@ -137,8 +169,9 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128) -> Dat
                 for i, (text, marks, unlike) in enumerate(zip(texts, part.column("__marks").to_pylist(), part.column("__unlike").to_pylist())):
                     lines = (text or "").encode().split(b"\n")
                     before.append(len(lines) if text else 0)
-                    drop = {m["place"] for m in marks or () if not m["first"]}.difference(unlike or ())
-                    keep = [line for k, (a, b, _) in enumerate(chunk_ends(lines)) if k not in drop for line in lines[a:b]] if drop else lines
+                    spans = {(m["place"], m["size"]) for m in marks or () if not m["first"] and not m["overlaps"]}
+                    drop = {k for place, size in spans.difference((u["place"], u["size"]) for u in unlike or ()) for k in range(place, place + size)}
+                    keep = [line for k, line in enumerate(lines) if k not in drop]
                     gone.append(len(lines) - len(keep))
                     if drop:
                         texts[i] = b"\n".join(keep).decode()
@@ -157,4 +190,4 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128) -> Dat
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that stays, for each row of ``docs``."""
-    return remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), extra=True)
+    return remove_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), extra=True, passages=True)

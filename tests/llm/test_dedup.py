@@ -97,6 +97,31 @@ def test_line_dedup_cases(documents, empty, spark):
     assert passage in got[0] and got[3] == "own line 3\nlast line 3"
 
 
+def test_repeated_passages_go_whole(spark):
+    rng = np.random.default_rng(4)
+    rows, own, passages = [], {}, {}
+    for group, n in enumerate((1, 2, 3, 4, 6, 8, 20) * 6):
+        words, cuts = [f"p{group}w{i}" for i in range(60)], np.sort(rng.choice(np.arange(1, 60), n - 1, replace=False))
+        passages[group] = [" ".join(x) for x in np.split(np.array(words), cuts)]
+        for copy in range(6):
+            doc = group * 10 + copy
+            mine = [" ".join(f"d{doc}l{i}w{j}" for j in range(rng.integers(1, 30))) for i in range(rng.integers(2, 9))]
+            at = int(rng.integers(1, len(mine)))
+            own[doc] = "\n".join(mine)
+            rows.append((doc, "\n".join(mine[:at] + passages[group] + mine[at:])))
+    same = "\n".join(["one line of eleven words that stands there again and again"] * 40)
+    docs = spark.createDataFrame(rows + [(9000, same), (9001, same)], "doc_id long, text string")
+    for bits in (128, 6):
+        got = {r["doc_id"]: r["text"] for r in line_chunks.remove_repeats(docs, bits=bits, passages=True).collect()}
+        before = dict(rows)
+        assert bits < 128 or all(got[d] == (before[d] if d % 10 == 0 else own[d]) for d in before)
+        assert all(set(own[d].split("\n")) <= set(got[d].split("\n")) for d in own)
+        assert all(set(passages[g]) <= set(got[g * 10].split("\n")) for g in passages)
+    assert got[9000].count("one line") >= 1
+    lines = {r["doc_id"]: r["n_removed"] for r in line_chunks.dedup_report(docs).collect()}
+    assert all(lines[d] == (len(passages[d // 10]) if d % 10 else 0) for d in own)
+
+
 # --- 7 near duplicates
 
 
