@@ -37,6 +37,29 @@ def test_random_folds_flatter_a_smooth_field(spark):
     assert gap["random_auroc_mean"] > 0.8 and gap["auroc_gap"] > 0.1
 
 
+def test_large_fits_use_the_same_learners(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 3))
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=900) > 1).astype(int)
+    fold = np.arange(900) % 3
+    y[fold == 2] = 1  # its test rows have one class
+    rows = [(f, "test" if fold[i] == f else "train", i, int(y[i]), *map(float, x[i])) for f in range(3) for i in range(900)]
+    folds = spark.createDataFrame(rows, "test_fold int, role string, id long, label int, a double, b double, c double").repartition(4)
+    small = {r["id"]: r["score"] for r in models.fold_predictions(folds, ["a", "b", "c"], "logistic").collect()}
+    monkeypatch.setattr(models, "DRIVERLESS_ROWS", 100)
+    large = {r["id"]: r["score"] for r in models.fold_predictions(folds, ["a", "b", "c"], "logistic").collect()}
+    assert large.keys() == small.keys() == {i for i in range(900) if fold[i] < 2}
+    assert all(large[i] == pytest.approx(small[i], abs=1e-7) for i in small)
+    monkeypatch.setattr(models, "_spread_boosted", lambda rows, features, spread=models._spread_boosted: spread(rows, features, rounds=5, keep=2))
+    large = {r["id"]: r["score"] for r in models.fold_predictions(folds, ["a", "b", "c"], "boosting").collect()}
+    assert large.keys() == small.keys()
+    for f in (0, 1):
+        train, test = fold != f, np.flatnonzero(fold == f)
+        want = models.boosted(x[train], y[train], x[test], rounds=5)
+        apart = np.abs(want - [large[i] for i in test])
+        assert np.quantile(apart, 0.98) < 1e-7 and want.std() > 0.01
+
+
 def test_catalogue_cleaning(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("﻿country_name,location_accuracy,event_id,event_date,longitude,latitude\nNepal,exact,1,08/01/2014 12:00:00 AM,85,28\n\t nepal ,5km,2,1704067200000,85,28\nIndia,1km,3,2014-01-01,80,20\nNEPAL,unknown,4,not a date,85,28\nNepal,50km,5,1704067200000.0,85,x\n", encoding="utf-8")
