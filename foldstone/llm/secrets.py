@@ -1,26 +1,30 @@
 """Secret scans with DataFrame functions only: patterns, and sliding-window entropy of candidate strings.
 
-Patterns give base spans. Candidates are runs of a character class; over each, a window slides one character at a time and
-its Shannon entropy follows from the counts of the character that leaves and the one that comes: with S the sum of
-c * log2(c) over the window's counts, H = log2(W) - S / W, and only two counts change a step. A candidate whose best window
-reaches the limit of its class is a span unless a base span holds it. Stretches of the allow-list are cut out first, and
-a candidate is a span whole if any part left between them tells.
+Patterns give base spans. Candidates are runs of a character class; over each, a window slides one character at a time. The
+fold carries the window's counts, one place for each character of the class, and S, the sum of c * log2(c) over them: the
+character that comes and the one that leaves each change one count and two terms of S, whatever the width, and
+H = log2(W) - S / W. A candidate whose best window reaches the limit of its class is a span unless a base span holds it.
+Stretches of the allow-list are cut out first, and a candidate is a span whole if any part left between them tells.
 
 Positions are code points, ends exclusive. They come from the lengths of the matches and of the texts between them, so
-nothing leaves the JVM and nothing is shuffled.
+nothing leaves the JVM and nothing is shuffled. A pattern passes over a text once, and once more where it has matches.
 
-Defined cases: null and empty texts have no spans (``spans`` empty, its digest that of the empty string); repeated rows are
-scanned each; in the pipeline all other columns pass untouched.
+Defined cases: null and empty texts have no spans (``spans`` empty, its digest that of the empty string); an empty table gives
+no rows; very long texts and candidates are scanned whole, a candidate in time proportional to its length; repeated rows are
+scanned each. Other columns pass ``redact`` untouched whatever their names, ``n_chars`` where the text has no span or is null.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.llm.text import fresh
+
 #: Base patterns in the order of their kinds, the group that must reach a length, and that length.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
@@ -41,10 +45,15 @@ class EntropyClass:
     least: float
 
 
+#: Hexadecimal digits; mixed letters and digits; and keys of one letter case, which need digits in three places.
 CLASSES = (
     EntropyClass("hex_entropy", r"[0-9A-Fa-f]{24,}", (r"[0-9]", r"[A-Fa-f]"), 24, 3.0),
     EntropyClass("base64_entropy", r"[A-Za-z0-9+/_-]{20,}={0,2}", (r"[0-9]", r"[A-Z]", r"[a-z]"), 20, 3.7),
+    EntropyClass("upper_entropy", r"[A-Z0-9]{26,}", (r"[G-Z]", r"(?:[0-9][A-Z]+){2}[0-9]"), 24, 3.5),
+    EntropyClass("lower_entropy", r"[a-z0-9]{26,}", (r"[g-z]", r"(?:[0-9][a-z]+){2}[0-9]"), 24, 3.6),
 )
+#: The characters of all classes lie between these.
+LOWEST, HIGHEST = ord("+"), ord("z")
 
 #: Candidates that tell nothing: one pattern a line of reasons.
 ALLOW = (
@@ -68,10 +77,13 @@ CUT = "|".join(
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
     """Spans of all leftmost matches of ``pattern`` for which ``keep(match)`` holds, in order."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -80,9 +92,12 @@ def _located(text: Column, pattern: str, kind: str, rank: int, keep) -> Column:
         span = F.struct(begin.cast("long").alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.cast("long").alias("at"), F.when(keep(pair["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    found = F.aggregate(pairs, start, step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    def placed(matches: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        pairs = F.zip_with(between, matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+        return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda state: state["spans"])).otherwise(F.array().cast(_SPAN))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -96,29 +111,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _weight(count: Column) -> Column:
-    """c * log2(c), 0 for a count of 0 or 1."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+def best_entropy(candidate: Column, width: int) -> Column:
+    """The largest entropy, in bits, of a window of ``width`` characters sliding over ``candidate``.
 
+    The counts are a string, one character a count, so that one of them is read or replaced in place."""
+    weights = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(width + 2)])
+    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - (LOWEST - 1))
 
-def best_entropy(candidate: Column, width: int) -> Column:
-    """The largest entropy, in bits, of a window of ``width`` characters sliding over ``candidate``."""
-    chars = F.split(candidate, "")
-    window = F.slice(chars, 1, width)
-    first = F.aggregate(window, F.lit(0.0), lambda s, x: s + F.log2(F.size(F.filter(window, lambda y: y == x)).cast("double")))
+    def moves(codes: Column) -> Column:
+        """The code of each character that comes, and before it that of the one that leaves, negative."""
+        return F.flatten(F.transform(codes, lambda c, i: F.when(i >= width, F.array(-F.element_at(codes, i - (width - 1)), c)).otherwise(F.array(c))))
 
-    def step(state: Column, i: Column) -> Column:
-        held = F.slice(chars, i, F.lit(width))
-        out, come = F.element_at(chars, i), F.element_at(chars, i + width)
-        gone = F.size(F.filter(held, lambda y: y == out))
-        there = F.size(F.filter(held, lambda y: y == come)) - F.when(out == come, 1).otherwise(0)
-        total = state["total"] - _weight(gone) + _weight(gone - 1) - _weight(there) + _weight(there + 1)
-        return F.struct(total.alias("total"), F.least(state["least"], total).alias("least"))
+    def step(state: Column, move: Column) -> Column:
+        def changed(old: Column) -> Column:
+            new = old + F.sign(move).cast("int")
+            total = state["total"] - weights[old] + weights[new]
+            come = state["come"] + (move > 0).cast("int")
+            whole = (move > 0) & (come >= width)
+            counts = F.overlay(state["counts"], F.char(new + ord("0")), F.abs(move), F.lit(1))
+            least = F.when(whole, F.least(state["least"], total)).otherwise(state["least"])
+            return F.struct(counts.alias("counts"), come.alias("come"), total.alias("total"), least.alias("least"))
 
-    begin = F.struct(first.alias("total"), first.alias("least"))
-    steps = F.when(F.size(chars) > width, F.sequence(F.lit(1), F.size(chars) - width)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, begin, step, lambda state: state["least"])
-    return F.round(F.log2(F.lit(float(width))) - least / width, 9)
+        return _let(F.ascii(F.substring(state["counts"], F.abs(move), F.lit(1))) - ord("0"), changed)
+
+    begin = F.struct(F.lit("0" * (HIGHEST - LOWEST + 1)).alias("counts"), F.lit(0).alias("come"), F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"))
+    least = _let(codes, lambda codes: F.aggregate(moves(codes), begin, step, lambda state: state["least"]))
+    return F.round(F.lit(log2(width)) - least / width, 9)
 
 
 def _tells(match: Column, found: EntropyClass) -> Column:
@@ -144,26 +162,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("__base", base_spans(text)).withColumn("__entropy", entropy_spans(text))
-    return found.withColumn("__spans", all_spans(F.col("__base"), F.col("__entropy")))
-
-
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts of base spans by kind, their digest, and all spans."""
-    found = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), entropy_spans(text).alias("entropy"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    spans = _joined(all_spans(F.col("base"), F.col("entropy")))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask`` (overlapping spans by one), and ``n_chars`` to match.
 
-    Texts without spans, and null ones, are left as they are; no row goes.
+    Rows whose text has no span, and those with a null text, are left as they are; no row goes.
     """
+    base, entropy, spans, clean = fresh(docs, "base", "entropy", "spans", "clean")
     text = F.col("text")
-    found = _with_spans(docs)
+    found = docs.withColumns({base: base_spans(F.coalesce(text, F.lit(""))), entropy: entropy_spans(F.coalesce(text, F.lit("")))})
+    found = found.withColumn(spans, all_spans(F.col(base), F.col(entropy)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
@@ -172,10 +188,11 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(joins, state["out"]).otherwise(F.concat(state["out"], gap, F.lit(mask))).alias("out"))
 
     rest = lambda state: F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(text)
-    length = F.coalesce(F.length("__clean"), F.lit(0))
-    swap = {"text": F.col("__clean"), "n_chars": length.cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else length}
-    return found.withColumn("__clean", clean).select(*[swap.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    found = found.withColumn(clean, F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)))  # null: as it was
+    swap = {"text": F.coalesce(F.col(clean), text)}
+    if "n_chars" in docs.columns:
+        swap["n_chars"] = F.coalesce(F.length(clean).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return found.select(*[swap.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def oracle() -> str:

@@ -127,6 +127,48 @@ def test_allowed_stretches_hide_no_more_than_themselves(spark):
     assert not any(key in left[i] or long[:40] in left[i] for i in range(len(shown)))
 
 
+def test_entropy_classes_find_planted_keys_and_leave_prose(spark):
+    import string
+
+    rng = np.random.default_rng(11)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    alphabets = {"hex_entropy": ("0123456789ABCDEF", 28), "base64_entropy": (string.ascii_letters + string.digits + "+/", 24), "upper_entropy": (string.ascii_uppercase + "234567", 32), "lower_entropy": (string.ascii_lowercase + string.digits, 40)}
+    planted = [(kind, draw(*alphabets[kind])) for kind in alphabets for _ in range(100)]
+    docs = spark.createDataFrame([(i, f"a key {key} of text") for i, (_, key) in enumerate(planted)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    for kind, least in (("hex_entropy", 99), ("base64_entropy", 95), ("upper_entropy", 75), ("lower_entropy", 97)):
+        at = [i for i, (k, _) in enumerate(planted) if k == kind]
+        assert sum(f"{kind}:6:{6 + len(planted[i][1])}" in found[i] for i in at) >= least
+    words = ["antidisestablishmentarianism", "chheitschaueinbeenst", "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG", "src/main/java/org/Example2Test", "2024-01-01T00-00-00_2024-02-02", "thequickbrownfoxjumps2024", "deadbeefdeadbeefdeadbeef1", "ISBN9780306406157", "/usr/local/lib/python3/dist-packages"]
+    clean = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert not any(r["spans"] for r in secrets.scan_secrets(clean).collect())
+    prose = secrets.scan_secrets(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert prose.where("spans like '%entropy%'").count() <= 1
+
+
+def test_long_candidates_take_linear_time(spark):
+    import base64
+    import time
+
+    seconds = []
+    for size in (30_000, 120_000):
+        text = base64.b64encode(np.random.default_rng(size).bytes(size)).decode()
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.monotonic()
+        assert secrets.scan_secrets(docs).first()["spans"] == f"base64_entropy:0:{len(text)}"
+        seconds.append(time.monotonic() - begin)
+    assert seconds[1] < 12 * seconds[0] + 5
+
+
+def test_secret_columns_may_have_any_name(spark, empty):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12 end", "a", "b", "c", "d", None), (2, "nothing", "a", "b", "c", "d", 77), (3, None, "a", "b", "c", "d", None)], "doc_id long, text string, base string, entropy string, spans string, clean string, n_chars long")
+    rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).schema["base"].dataType.simpleString() == "string"
+    assert all((r["base"], r["entropy"], r["spans"], r["clean"]) == ("a", "b", "c", "d") for r in rows.values())
+    assert (rows[1]["text"], rows[1]["n_chars"], rows[2]["n_chars"], rows[3]["n_chars"]) == ("[secret] end", 12, 77, None)
+    assert secrets.scan_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
 # --- 4 fingerprints
 
 
