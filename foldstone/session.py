@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-_TABLES: list[tuple[SparkSession, str]] = []
+_TABLES: dict[str, SparkSession] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,9 +37,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, a local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one serves a session
+    that is one process (tests); a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"foldstone-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
@@ -47,22 +53,37 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs its running tasks only. The table goes when the application ends.
+    It cuts the lineage: a lost executor costs its running tasks only. The table goes by ``release``, or when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _TABLES:
         atexit.register(_drop_tables)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that came from ``materialize`` and that nothing is to read any more."""
+    for found in tables:
+        path = _PATHS.pop(found, None)
+        if path is not None:
+            _delete(_TABLES.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _drop_tables() -> None:
-    for spark, path in _TABLES:
+    for path, spark in _TABLES.items():
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before: its folder is the cluster's to clean
             return
 
