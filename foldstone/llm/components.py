@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.session import materialize
+from foldstone.session import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v: long); the label is the component's smallest node.
 
     Each round links neighbours to the smallest node next to them; the number of rounds follows the logarithm of the
-    nodes. A round's tables are written to the shared folder; minima are taken map-side first and written before they are
+    nodes. A round's tables are written to the shared folder and go with the next round; minima are taken map-side first and written before they are
     joined, one row a node, so that both sides of the join are shuffled for it and a node with many links is split over
     tasks. No link is collected.
     """
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "large")
         lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "lowest")
         small = large.join(lowest, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = materialize(small.where("u <> v").distinct(), "links")
+        done, pairs = pairs, materialize(small.where("u <> v").distinct(), "links")
+        release(done, least, large, lowest)
         after = _state(pairs)
         if after == before:
             break

@@ -4,18 +4,25 @@
    band keys, and an odd sketch: every sample flips one bit of a bitmap, so the bits that differ between two documents
    count the samples that differ.
 2. Documents of one set are a class; only classes go on, so a group of copies, however large, is one row.
-3. Classes that share a band key are candidates. Each is tied to the smallest class of its bucket, not to all of it; the
-   components of these ties hold every candidate pair.
-4. A component is dealt into blocks of bounded size, and each pair of blocks is one task's group. There, sketches of all
-   pairs are compared at once; those that may reach the similarity are taken most alike first, and unless already
-   linked, confirmed on the full sets. A task returns a spanning forest, at most one link a class.
+3. Classes that share a band key, a bucket, are candidates. First each is held against the smallest class of each of its
+   buckets, by size and sketch, and against the most alike of these on the full sets. That is one pair a class, and it joins
+   most of every group.
+4. Then the buckets whose classes are not yet in one component are worked through whole. They are dealt into blocks of
+   bounded size; pairs of blocks are tasks, but for two blocks of the component that most of the bucket is in. Sketches
+   alone travel first and flag the classes that a class of another component may be alike to; only these travel again
+   with their full sets, are taken most alike first, and confirmed unless already linked. A task returns a spanning forest.
 5. The components of the confirmed links are the answer.
 
-A pair at exactly 0.75 shares no band with probability (1 - 0.75 ** 5) ** 40, about 2e-5, and less above; the sketch's limit
-lies five standard deviations from it. Defined cases: a text without words has the empty set and is linked with nothing;
-with fewer words than a shingle the whole sequence is the one shingle; rows of equal id and text stand or fall together
-in ``near_duplicates``, while ``keep_one`` keeps one row of a group; rows without id take part, and a component's id is the
-smallest id there is.
+So work follows the sizes of buckets that hold different components, not those of the chains that buckets form. A pair at exactly
+0.75 shares no band with probability (1 - 0.75 ** 5) ** 40, about 2e-5, and less above; the sketch's limit lies five
+standard deviations from it. Sets are held as 64-bit shingle hashes: "full sets" are equal up to collisions of these, and
+classes and buckets of equal members up to collisions of 128 bits.
+
+Defined cases: a text without words has the empty set and is linked with nothing; with fewer words than a shingle the whole
+sequence is the one shingle; very long texts are taken whole, and weigh in a block by their shingles; rows of equal id and
+text stand or fall together in ``near_duplicates``, while ``keep_one`` keeps one row of a group; rows without id take part, and
+a component's id is the smallest id there is; an empty table gives no rows. ``keep_one`` leaves other columns as they are
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.components import connected_components
-from foldstone.llm.text import as_bytes, mix, per_slice, slices, space_words, windows, word_hashes
-from foldstone.session import materialize, ship
+from foldstone.llm.text import as_bytes, fresh, mix, per_slice, slices, space_words, windows, word_hashes
+from foldstone.session import materialize, release, ship
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS, SKETCH_BITS = 5, 40, 512
+LANES = SKETCH_BITS // 64
 #: Pairs whose sketches differ in more bits cannot reach the similarity (five standard deviations from its mean of 83).
 MOST_APART = 145
 #: A block has about so many classes and shingles.
@@ -73,7 +81,7 @@ def signatures(keys: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """Set hashes, sketches and band keys of the non-empty sets, and which texts they are of."""
     live = np.flatnonzero(np.diff(starts) > 0)
     begin = starts[:-1][live]
-    out = {"at": live, "h1": np.empty(0, np.int64), "h2": np.empty(0, np.int64), "sketch": np.empty((0, SKETCH_BITS // 8), np.uint8), "bands": np.empty((0, BANDS), np.int64)}
+    out = {"at": live, "h1": np.empty(0, np.int64), "h2": np.empty(0, np.int64), "sketch": np.empty((0, LANES), np.int64), "bands": np.empty((0, BANDS), np.int64)}
     if not len(live):
         return out
     out["h1"] = np.add.reduceat(mix(keys), begin).view(np.int64)
@@ -85,7 +93,7 @@ def signatures(keys: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     numbered = samples.astype(np.uint64) | (np.arange(ROWS * BANDS, dtype=np.uint64) << np.uint64(32))
     bit = (mix(numbered) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(live))[:, None] * SKETCH_BITS
     flips = np.bincount(bit.ravel(), minlength=len(live) * SKETCH_BITS).astype(np.uint8) & 1
-    out["sketch"] = np.packbits(flips.reshape(len(live), SKETCH_BITS), axis=1)
+    out["sketch"] = np.packbits(flips.reshape(len(live), SKETCH_BITS), axis=1).view(np.int64)
     band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(live), axis=0)
     for r in range(ROWS):
         band = mix(band ^ samples[:, r::ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -93,7 +101,7 @@ def signatures(keys: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -102,8 +110,8 @@ def _sign(part: pa.RecordBatch) -> pa.RecordBatch:
     place = np.full(part.num_rows, -1)
     place[found["at"]] = np.arange(len(found["at"]))
     pick = pa.array(place, pa.int64(), mask=place < 0)
-    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found["at"]) + 1) * BANDS, pa.int32()), pa.array(found["bands"].ravel()))
-    columns = [pa.array(found["h1"]), pa.array(found["h2"]), pa.array([r.tobytes() for r in found["sketch"]], pa.binary()), bands]
+    lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+    columns = [pa.array(found["h1"]), pa.array(found["h2"]), lists(found["sketch"]), lists(found["bands"])]
     more = [c for c in part.schema.names if c not in ("doc_id", "text")]
     schema = pa.schema([*_SIGNED, *(pa.field(c, pa.int64()) for c in more)])
     return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts), pa.int64()), *(c.take(pick) for c in columns), *(part.column(c) for c in more)], schema=schema)
@@ -114,110 +122,180 @@ def _alike(one: np.ndarray, other: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(one) + len(other) - common)
 
 
-def confirm_block(nodes: list[int], low: np.ndarray, high: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links between rows of ``low`` and rows of ``high`` (index arrays)."""
-    parent = {n: n for n in nodes}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    same = low is high
-    sizes = np.array([len(s) for s in sets])
-    tried: list[np.ndarray] = []
+def candidates(low: np.ndarray, high: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(bits apart, a, b) of the pairs of a row of ``low`` and one of ``high`` (index arrays; the same one: each pair once)
+    that lie in different groups and may reach the similarity by their sketches and sizes."""
+    same, found = low is high, []
     step = max(1, 400_000 // max(len(high), 1))
     for i in range(0, len(low), step):
         some = low[i : i + step]
         apart = np.bitwise_count(sketches[some][:, None] ^ sketches[high][None]).sum(axis=2, dtype=np.int32)
         least, most = np.minimum(sizes[some][:, None], sizes[high][None]), np.maximum(sizes[some][:, None], sizes[high][None])
-        a, b = np.nonzero((apart <= MOST_APART) & (100 * least >= PERCENT * most))
+        a, b = np.nonzero((apart <= MOST_APART) & (100 * least >= PERCENT * most) & (group[some][:, None] != group[high][None]))
         if same:
             a, b = a[b > a + i], b[b > a + i]
-        tried.append(np.stack([apart[a, b], some[a], high[b]], axis=1))
+        found.append(np.stack([apart[a, b], some[a], high[b]], axis=1))
+    return np.concatenate(found) if found else np.empty((0, 3), int)
+
+
+def spanning_links(pairs: np.ndarray, nodes: np.ndarray, group: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, between groups, of the pairs that hold on the full sets; the most alike are tried first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     links = []
-    found = np.concatenate(tried) if tried else np.empty((0, 3), int)
-    for _, a, b in found[np.argsort(found[:, 0], kind="stable")].tolist():
-        ra, rb = root(nodes[a]), root(nodes[b])
+    for _, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        ra, rb = root(int(group[a])), root(int(group[b]))
         if ra != rb and _alike(sets[a], sets[b]):
             parent[max(ra, rb)] = min(ra, rb)
-            links.append((nodes[a], nodes[b]))
+            links.append((int(nodes[a]), int(nodes[b])))
     return links
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, lo, hi): the links of each such group."""
-    held: list[dict] = []
-    key = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = row["part"], row["lo"], row["hi"]
-            if held and now != key:
-                yield _links(held)
-                held = []
-            key = now
-            held.append(row)
-    if held:
-        yield _links(held)
-
-
-def _links(rows: list[dict]) -> pa.RecordBatch:
-    at = np.array([r["block"] for r in rows])
-    low = np.flatnonzero(at == rows[0]["lo"])
-    high = low if rows[0]["lo"] == rows[0]["hi"] else np.flatnonzero(at == rows[0]["hi"])
-    sketches = np.frombuffer(b"".join([r["sketch"] for r in rows]), np.uint64).reshape(len(rows), -1)
-    links = confirm_block([r["node"] for r in rows], low, high, sketches, [np.frombuffer(r["shingles"], np.uint64) for r in rows])
+def _per_task(answer):
+    """For rows sorted by (band, lo, hi): ``answer(rows)`` of each such group."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(keys[:, a].tolist())
+                if held and now != key:
+                    yield answer(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield answer(pa.Table.from_batches(held).combine_chunks())
+
+    return over
+
+
+def _pairs_of(rows: pa.Table) -> np.ndarray:
+    block = rows.column("block").to_numpy()
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    low = np.flatnonzero(block == lo)
+    high = low if lo == hi else np.flatnonzero(block == hi)
+    sketches = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+    return candidates(low, high, sketches, rows.column("n").to_numpy(), rows.column("part").to_numpy())
+
+
+_DEALT = "band long, lo int, hi int, block int, node long, part long, n long, sketch array<long>"
+
+
+def _flagged(rows: pa.Table) -> pa.RecordBatch:
+    """The rows that are in any candidate pair of their task."""
+    found = rows.take(pa.array(np.unique(_pairs_of(rows)[:, 1:]))).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in found.columns], names=found.column_names)
+
+
+def _confirmed(rows: pa.Table) -> pa.RecordBatch:
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    links = spanning_links(_pairs_of(rows), rows.column("node").to_numpy(), rows.column("part").to_numpy(), sets)
     return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
 
-def _linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signatures of ``keyed`` (doc_id, text and further long columns, which stay), and its sets: h1, h2, doc_id (the
-    smallest) and label, equal for linked sets."""
-    ship(keyed.sparkSession)
-    source = keyed.select("doc_id", "text")
-    more = "".join(f", {c} long" for c in keyed.columns if c not in ("doc_id", "text"))
-    signed = materialize(per_slice(keyed, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, bands array<long>" + more), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, v, su, sv) those whose sets are alike."""
+    for batch in batches:
+        alike = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("su"), batch.column("sv"))]
+        yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    bands = classes.select("node", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    buckets = materialize(buckets, "buckets")  # so that the join may split a bucket of many classes
-    ties = bands.join(buckets, "band").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    parts = materialize(connected_components(ties), "parts")
 
-    members = classes.join(parts, "node").select("node", F.col("label").alias("part"), "doc_id", "h1", "h2", "sketch", "n")
-    sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(materialize(sizes, "sizes"), "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    named = source.withColumnRenamed("doc_id", "id")
-    texts = named.join(members, named["id"].eqNullSafe(members["doc_id"])).drop("id", "doc_id")
-    fields = "node long, part long, blocks int, block int, sketch binary, shingles binary"
+def _sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the classes ``wanted`` (node, at, h1, h2), from the texts of ``source`` (doc_id, k1, text); ``at``
+    is the id and text key of one of a class's rows."""
+    met = source["doc_id"].eqNullSafe(wanted["at.doc_id"]) & source["k1"].eqNullSafe(wanted["at.k1"])
+    texts = source.join(wanted, met).select("text", "node", "h1", "h2")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 keys, starts = shingle_sets(as_bytes(part.column("text")))
-                found = signatures_only(keys, starts)
+                found = set_hashes(keys, starts)
                 own = (found[0] == part.column("h1").to_numpy()) & (found[1] == part.column("h2").to_numpy())
                 sets = [keys[a:b].tobytes() for a, b in zip(starts, starts[1:])]
-                rows = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "part", "blocks", "block", "sketch")), pa.array(sets, pa.binary())], names=["node", "part", "blocks", "block", "sketch", "shingles"])
-                yield rows.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"]).filter(pa.array(own))
+
+    # repeated rows of one id and text give one row
+    return texts.mapInArrow(with_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _open_tasks(met: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The block tasks (``_DEALT``) of all buckets of ``met`` (band, node) that hold classes of several components."""
+    rows = met.join(parts, "node", "left").select("band", "node", F.coalesce("label", "node").alias("part"))
+    rows = materialize(rows.join(marks, "node"), "open")
+    per = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"))
+    top = F.max(F.struct("c", "w", "part")).alias("top")
+    bands = per.groupBy("band").agg(top, F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("parts > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK_CLASSES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    bands = bands.select("band", "x1", "x2", "c", F.col("top.part").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("mains"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("others"))
+    # buckets of the same classes are one
+    bands = bands.groupBy("x1", "x2", "c").agg(F.min(F.struct("band", "main", "mains", "others")).alias("b")).select("b.*")
+    bands = materialize(bands, "bands")  # so that the join may split a bucket of many classes
+    dealt = rows.join(bands, "band")
+    place, is_main = F.xxhash64("node"), F.col("part") == F.col("main")
+    block = F.when(is_main, F.pmod(place, F.col("mains"))).otherwise(F.col("mains") + F.pmod(place, F.col("others"))).cast("int")
+    last = F.col("mains") + F.col("others") - 1
+    other = F.explode(F.when(is_main, F.sequence(F.col("mains"), last)).otherwise(F.sequence(F.lit(0), last))).alias("other")
+    dealt = dealt.select("band", "node", "part", "n", "sketch", block.alias("block"), other)
+    return dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "n", "sketch")
+
+
+def _links(source: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) whose components are those of all linked pairs of ``classes``."""
+    bands = classes.select("node", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    buckets = materialize(buckets, "buckets")  # so that the join may split a bucket of many classes
+    met = materialize(bands.join(buckets, "band"), "met")
+    release(buckets)
+    marks = classes.select("node", "n", "sketch")
+    sets = materialize(_sets_of(source, classes.join(met.select("node").distinct(), "node").select("node", "at", "h1", "h2")), "sets")
+
+    ties = met.where("node <> pivot").select("node", "pivot").distinct()
+    ties = ties.join(marks, "node").join(materialize(marks.join(ties.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivots"), "pivot")
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("ps")[i])) for i in range(1, LANES)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("ps")[0])))
+    near = ties.withColumn("apart", apart).where((F.col("apart") <= MOST_APART) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+    best = materialize(near.groupBy("node").agg(F.min(F.struct("apart", "pivot"))["pivot"].alias("pivot")), "best")
+    with_pivot = best.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sv")), "pivot")
+    pairs = with_pivot.join(sets, "node").select(F.col("node").alias("u"), F.col("pivot").alias("v"), F.col("shingles").alias("su"), "sv")
+    stars = materialize(pairs.mapInArrow(_hold, "u long, v long"), "stars")
+
+    parts = materialize(connected_components(stars), "parts")
+    dealt = _open_tasks(met.select("band", "node"), parts, marks)
+    in_order = lambda df: df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    flagged = materialize(in_order(dealt).mapInArrow(_per_task(_flagged), _DEALT), "flagged")
+    rest = in_order(flagged.join(sets, "node").select(*flagged.columns, "shingles")).mapInArrow(_per_task(_confirmed), "u long, v long")
+    found = materialize(stars.unionByName(rest), "found")
+    release(met, sets, best, stars, parts, flagged)
+    return found
 
-    sets = texts.mapInArrow(with_sets, fields)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("node", "part", "block", "sketch", "shingles", other)
-    dealt = dealt.select("node", "part", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sketch", "shingles")
-    links = dealt.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi").mapInArrow(_confirm, "u long, v long")
-    groups = connected_components(links)
 
+def _linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``keyed`` (doc_id, text, k1: a key of the text, and further long columns, which stay), and its sets:
+    h1, h2, doc_id (the smallest) and label, equal for linked sets."""
+    ship(keyed.sparkSession)
+    source = keyed.select("doc_id", "k1", "text")
+    more = "".join(f", {c} long" for c in keyed.columns if c not in ("doc_id", "text"))
+    signed = materialize(per_slice(keyed, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, bands array<long>" + more), "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "k1")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    groups = connected_components(_links(source, classes))
     named = classes.select("node", "h1", "h2", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return signed, materialize(named, "labelled")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    signed, named = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    signed, named = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("k1")))
     first = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     answer = named.join(first, "label").select("h1", "h2", "component_id")
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(answer, ["h1", "h2"], "left")
@@ -225,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def signatures_only(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_hashes(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two set hashes of every text, 0 where the set is empty."""
     h1, h2 = np.zeros(len(starts) - 1, np.int64), np.zeros(len(starts) - 1, np.int64)
     live = np.flatnonzero(np.diff(starts) > 0)
@@ -239,21 +317,25 @@ def signatures_only(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id (rows without id come last); all
     columns as they were. Rows are told apart by id and two hashes of the text; of rows equal in these any one stays."""
-    key = {"__id": F.col("doc_id").cast("long"), "__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")}
-    signed, named = _linked(docs.select(key["__id"].alias("doc_id"), "text", *[key[k].alias(k) for k in ("__k1", "__k2")]))
-    rows = signed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), "__k1", "__k2", "h1", "h2").agg(F.count(F.lit(1)).alias("c"))
+    names = fresh(docs, "id", "k1", "k2", "id_of", "k1_of", "k2_of", "stays")
+    own, of, stays = names[:3], names[3:6], names[6]
+    values = dict(zip(own, (F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))))
+    keyed = docs.withColumns(values)
+    signed, named = _linked(keyed.select(F.col(own[0]).alias("doc_id"), "text", F.col(own[1]).alias("k1"), F.col(own[2]).alias("k2")))
+    rows = signed.where("n_shingles > 0").groupBy("doc_id", "k1", "k2", "h1", "h2").agg(F.count(F.lit(1)).alias("c"))
     rows = materialize(rows.join(named.select("h1", "h2", "label"), ["h1", "h2"]).drop("h1", "h2"), "members")
-    rank = F.struct(F.col("__id").isNull().alias("none"), "__id", "__k1", "__k2")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     firsts = materialize(rows.groupBy("label").agg(F.min(rank).alias("first")), "firsts")
-    found = rows.join(firsts, "label").withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or c > 1")
-    found = materialize(found.select(*[F.col(k).alias(f"{k}_of") for k in key], "stays"), "found")
-    keyed = docs.withColumns(key)
-    same = lambda other: reduce(lambda a, b: a & b, [keyed[k].eqNullSafe(other[f"{k}_of"]) for k in key])
-    out = keyed.join(found, same(found), "left_anti")
-    repeated = found.where("stays")
+    found = rows.join(firsts, "label").withColumn(stays, rank.eqNullSafe(F.col("first"))).where(F.expr(f"not `{stays}` or c > 1"))
+    found = materialize(found.select(*[F.col(k).alias(n) for k, n in zip(("doc_id", "k1", "k2"), of)], stays), "found")
+    release(rows, firsts, signed, named)
+    same = reduce(lambda a, b: a & b, [keyed[a].eqNullSafe(found[b]) for a, b in zip(own, of)])
+    out = keyed.join(found, same, "left_anti")
+    repeated = found.where(F.col(stays))
     if repeated.limit(1).count():
-        out = out.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([*key]))
-    return out.drop(*key)
+        again = reduce(lambda a, b: a & b, [keyed[a].eqNullSafe(repeated[b]) for a, b in zip(own, of)])
+        out = out.unionByName(keyed.join(repeated, again, "left_semi").dropDuplicates(own))
+    return out.drop(*own)
 
 
 def oracle() -> str:

@@ -174,6 +174,44 @@ def test_near_duplicates_of_the_driver_tables(spark):
     assert got == set(con.execute(near_dup.oracle()).fetchall())
 
 
+def test_pairs_just_above_the_limit_are_found(spark):
+    rows, sizes = [], []
+    for i in range(500):
+        n = 40 + i % 160  # shingles of each of the two
+        common = -(-75 * 2 * n // 175)  # the smallest number in common that links them
+        words = [f"p{i}w{j}" for j in range(n + 4)]
+        other = words[: common + 4] + [f"q{i}w{j}" for j in range(n - common)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        rows += [(10_000 + 2 * i, " ".join(f"x{w}" for w in words)), (10_001 + 2 * i, " ".join(f"x{w}" for w in other[:-1] + words[: 5 + (n < 60)]))]
+        sizes.append(common / (2 * n - common))
+    assert 0.75 <= min(sizes) and np.mean(sizes) < 0.757
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(500))
+    near = [r for r in rows if r[0] >= 10_000][:200]
+    want = brute_components(near)
+    assert all(got[d] == want[d][1] for d, _ in near)
+
+
+def test_a_chain_of_near_copies_takes_work_in_proportion(spark, monkeypatch):
+    dealt = []
+    opened = near_dup._open_tasks
+    monkeypatch.setattr(near_dup, "_open_tasks", lambda *a: dealt.append(opened(*a).count()) or opened(*a))
+    for n in (300, 1500):
+        docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(10 * i, 10 * i + 100))) for i in range(n)], "doc_id long, text string")
+        got = [r["component_id"] for r in near_dup.near_duplicates(docs).collect()]
+        assert len(got) == n and set(got) == {0}
+    assert dealt[1] <= 6 * dealt[0] + 100 and dealt[1] < 40 * 1500
+
+
+def test_many_rows_without_id_are_told_apart_by_text(spark):
+    rows = [(None, " ".join(f"t{i}w{j}" for j in range(30)) + " end" * (k % 2)) for i in range(150) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dup.keep_one(docs).count() == 150 and near_dup.near_duplicates(docs).count() == 450
+    clash = docs.withColumns({"id": F.lit("a"), "k1": F.lit("b"), "stays": F.lit("c"), "label": F.lit("d"), "h1": F.lit("e")})
+    assert near_dup.keep_one(clash).columns == clash.columns and near_dup.keep_one(clash).where("id = 'a' and k1 = 'b' and stays = 'c'").count() == 150
+
+
 def test_odd_sketches_tell_similarity():
     rows = [x.encode() for _, x in edited_group(60, 3)]
     keys, starts = near_dup.shingle_sets(rows)
