@@ -5,7 +5,7 @@ lines move no boundary beyond their neighbours. A line of ``LONG`` words or more
 or more, and long lines, are looked up over the whole corpus: where one stands in several places, the first (by doc_id, text
 hash and place) stays, and the others go once 256-bit digests of their bytes have been compared with it.
 
-With ``passages`` (the query; the pipeline's stage keeps to chunks), so are the shortest windows of whole lines that reach ``LONG`` words from
+With ``passages`` (the query and the pipeline), so are the shortest windows of whole lines that reach ``LONG`` words from
 each line on and back from each line. Every line of a repeated passage of ``LONG`` words lies in one that the passage holds,
 so the passage goes whole, however its lines are chunked. A line goes with an earlier copy of itself, so one copy stays.
 
@@ -13,7 +13,9 @@ Only 128-bit hashes and places are shuffled to find repeats; digests travel for
 shuffled once, to meet their marks. A chunk that half of all documents share is counted map-side, and joined as a skewed key.
 
 Defined cases: null texts stay null, empty texts empty; chunks of fewer than ``LEAST`` words stay; a document of which
-nothing is left has an empty text; rows of equal id and text are one document and keep the same lines.
+nothing is left has an empty text; rows of equal id and text are one document and keep the same lines, while rows of one id with
+different texts, or without id, are documents of their own; very long texts are taken whole; an empty table gives no rows.
+Other columns stay as they are whatever their names, ``n_chars`` unless lines go.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.text import as_bytes, slices
-from foldstone.session import materialize, ship
+from foldstone.llm.text import as_bytes, fresh, slices
+from foldstone.session import materialize, release, ship
 
 WINDOW, DIVISOR, LONG, LEAST, MOST_LINES = 2, 3, 50, 10, 64
 _M = (1 << 64) - 1
@@ -86,8 +88,8 @@ def _hash(data: bytes, bits: int) -> bytes:
     return (xxhash.xxh3_128_intdigest(data) >> 128 - bits).to_bytes(16, "big")
 
 
-def _key(docs: DataFrame) -> list[Column]:
-    return [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text_key")]
+def _key() -> list[Column]:
+    return [F.col("doc_id").cast("long"), F.xxhash64("text")]
 
 
 def _chunks(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
@@ -97,40 +99,45 @@ def _chunks(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[] for _ in schema]
-                for doc, key, text in zip(part.column("__id").to_pylist(), part.column("__text_key").to_pylist(), as_bytes(part.column("text"))):
+                for doc, key, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), as_bytes(part.column("text"))):
                     lines = text.split(b"\n")
                     for a, b in looked_up(lines, passages):
                         for column, value in zip(out, (_hash(b"\n".join(lines[a:b]), bits), doc, key, a, b - a)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(*_key(docs), "text").mapInArrow(over, "hash binary, id long, text_key long, place int, size int")
+    key = _key()
+    return docs.select(key[0].alias("id"), key[1].alias("text_key"), "text").mapInArrow(over, "hash binary, id long, text_key long, place int, size int")
 
 
-def _marked(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
-    """``docs`` and, where it has chunks that stand in several places, ``__marks`` with their place, hash, whether
-    this is the first of them and whether it overlaps the first, as in a run of like lines."""
+def _marked(docs: DataFrame, names: list[str], bits: int, passages: bool) -> DataFrame:
+    """``docs`` with ``names``: its id, text key and, where it has chunks that stand in several places, marks with their place,
+    hash, whether this is the first of them and whether it overlaps the first, as in a run of like lines."""
+    id_, key, marks_, _ = names
     chunks = materialize(_chunks(docs, bits, passages), "chunks")
     here = F.struct("id", "text_key", "place", "size")
     several = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
     several = materialize(several, "several")  # so that the join may split a chunk with many places
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("place") < F.col("first.place") + F.col("first.size"))
     marks = chunks.join(several, "hash").select("id", "text_key", F.struct("place", "size", "hash", here.eqNullSafe(F.col("first")).alias("first"), overlaps.alias("overlaps")).alias("mark"))
-    marks = marks.groupBy(F.col("id").alias("__mark_id"), F.col("text_key").alias("__mark_key")).agg(F.collect_set("mark").alias("__marks"))
-    keyed = docs.withColumns({"__id": _key(docs)[0], "__text_key": _key(docs)[1]})
-    met = keyed.join(marks, keyed["__id"].eqNullSafe(marks["__mark_id"]) & (keyed["__text_key"] == marks["__mark_key"]), "left")
-    return materialize(met.drop("__mark_id", "__mark_key"), "marked")
+    marks = marks.groupBy("id", "text_key").agg(F.collect_set("mark").alias(marks_))
+    keyed = docs.withColumns(dict(zip((id_, key), _key())))
+    met = keyed.join(marks, keyed[id_].eqNullSafe(marks["id"]) & (keyed[key] == marks["text_key"]), "left")
+    found = materialize(met.select(*[keyed[f"`{c}`"] for c in keyed.columns], marks[marks_]), "marked")
+    release(chunks, several)
+    return found
 
 
 def _refuted(marked: DataFrame) -> DataFrame:
-    """(__id, __text_key, places) of marked chunks whose bytes are not those of the first with their hash."""
+    """(bad_id, bad_key, places) of rows (id, text_key, marks, text) whose marked chunks' bytes are not those of the first with
+    their hash."""
     schema = pa.schema([("hash", pa.binary()), ("first", pa.bool_()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[] for _ in schema]
-                for doc, key, marks, text in zip(part.column("__id").to_pylist(), part.column("__text_key").to_pylist(), part.column("__marks").to_pylist(), as_bytes(part.column("text"))):
+                for doc, key, marks, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), part.column("marks").to_pylist(), as_bytes(part.column("text"))):
                     lines = text.split(b"\n")
                     for m in marks:
                         data = b"\n".join(lines[m["place"] : m["place"] + m["size"]])
@@ -138,12 +145,13 @@ def _refuted(marked: DataFrame) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    rows = marked.where("__marks is not null").select("__id", "__text_key", "__marks", "text")
-    rows = rows.mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, size int, digest binary")
+    rows = marked.where("marks is not null").mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, size int, digest binary")
     rows = materialize(rows, "places")
     firsts = materialize(rows.where("first").groupBy("hash").agg(F.min("digest").alias("kept")), "firsts")
     unlike = rows.where("not first").join(firsts, "hash").where("digest <> kept")
-    return unlike.groupBy(F.col("id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).agg(F.collect_set(F.struct("place", "size")).alias("__unlike"))
+    found = materialize(unlike.groupBy(F.col("id").alias("bad_id"), F.col("text_key").alias("bad_key")).agg(F.collect_set(F.struct("place", "size")).alias("places")), "refuted")
+    release(rows, firsts)
+    return found
 
 
 def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passages: bool = False) -> DataFrame:
@@ -151,14 +159,16 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passag
     ``n_removed`` lines. ``passages`` removes repeated windows of lines too. ``bits`` below 128 weaken the hash, for tests
     of the comparison."""
     ship(docs.sparkSession)
-    marked = _marked(docs, bits, passages)
-    refuted = materialize(_refuted(marked), "refuted")
+    names, schema = docs.columns, docs.schema
+    id_, key, marks_, unlike_ = own = fresh(docs, "id", "text_key", "marks", "unlike")
+    marked = _marked(docs, own, bits, passages)
+    refuted = _refuted(marked.select(F.col(id_).alias("id"), F.col(key).alias("text_key"), F.col(marks_).alias("marks"), "text"))
+    given = [marked[f"`{c}`"] for c in names]
     if refuted.limit(1).count():
-        marked = marked.join(refuted, marked["__id"].eqNullSafe(refuted["__bad_id"]) & (marked["__text_key"] == refuted["__bad_key"]), "left").drop("__bad_id", "__bad_key")
+        met = marked[id_].eqNullSafe(refuted["bad_id"]) & (marked[key] == refuted["bad_key"])
+        marked = marked.join(refuted, met, "left").select(*given, marked[marks_], refuted["places"].alias(unlike_))
     else:
-        marked = marked.withColumn("__unlike", F.lit(None).cast("array<struct<place:int,size:int>>"))
-    names = docs.columns
-    schema = docs.schema
+        marked = marked.select(*given, marks_, F.lit(None).cast("array<struct<place:int,size:int>>").alias(unlike_))
     if extra:
         schema = schema.add("n_lines", "long").add("n_removed", "long")
 
@@ -166,7 +176,7 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passag
         for batch in batches:
             for part in slices(batch):
                 texts, before, gone = part.column("text").to_pylist(), [], []
-                for i, (text, marks, unlike) in enumerate(zip(texts, part.column("__marks").to_pylist(), part.column("__unlike").to_pylist())):
+                for i, (text, marks, unlike) in enumerate(zip(texts, part.column(marks_).to_pylist(), part.column(unlike_).to_pylist())):
                     lines = (text or "").encode().split(b"\n")
                     before.append(len(lines) if text else 0)
                     spans = {(m["place"], m["size"]) for m in marks or () if not m["first"] and not m["overlaps"]}
@@ -185,7 +195,7 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passag
                     columns |= {"n_lines": pa.array(before, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return marked.select(*[F.col(f"`{c}`") for c in names], "__marks", "__unlike").mapInArrow(over, schema)
+    return marked.mapInArrow(over, schema)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

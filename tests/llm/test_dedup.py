@@ -33,22 +33,52 @@ def test_components(spark):
 # --- 3 line dedup
 
 
-def brute_dedup(rows, bits=128):
-    """(doc_id, text) -> text, all chunks of all documents in one place."""
-    from foldstone.llm.line_chunks import chunk_ends, removable
+def own_chunks(lines):
+    """The chunks of a text by the rule's own words: a hash of the last two lines' hashes ends a chunk, as do a line of 50
+    words, the line before one, and 64 lines."""
+    import xxhash
+
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    out, chunk = [], []
+    for i, line in enumerate(lines):
+        chunk.append(i)
+        rolled = xxhash.xxh64_intdigest(line) + (base * xxhash.xxh64_intdigest(lines[i - 1]) if i else 0) & mask
+        long = [len(x.split()) >= 50 for x in lines[i : i + 2]]
+        if ((rolled ^ rolled >> 29) * base >> 40 & mask) % 3 == 0 or any(long) or len(chunk) == 64 or i + 1 == len(lines):
+            out.append((chunk[0], i + 1))
+            chunk = []
+    return out
+
+
+def own_windows(lines):
+    """All shortest runs of lines that reach 50 words from a line that has words on, or back from it."""
+    n, out = len(lines), set()
+    words = lambda a, b: len(b" ".join(lines[a:b]).split())
+    for i in range(n):
+        if lines[i].split():
+            ahead = next(((i, j) for j in range(i + 1, n + 1) if words(i, j) >= 50), None)
+            back = next(((j, i + 1) for j in range(i, -1, -1) if words(j, i + 1) >= 50), None)
+            out |= {x for x in (ahead, back) if x}
+    return out
+
 
+def brute_dedup(rows, passages=False):
+    """(doc_id, text) -> text: every chunk of every document in one dictionary of bytes."""
     keyed = sorted({(r[0] is not None, r[0], _key(r[1]), r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0], x[1] or 0, x[2]))
-    seen, out = set(), {}
-    for _, doc, _, text in keyed:
-        lines, keep = text.encode().split(b"\n"), []
-        for a, b, words in chunk_ends(lines):
-            chunk = b"\n".join(lines[a:b])
-            if removable(a, b, words):
-                if chunk in seen:
-                    continue
-                seen.add(chunk)
-            keep += lines[a:b]
-        out[(doc, text)] = b"\n".join(keep).decode()
+    first, spans, out = {}, {}, {}
+    for at, (_, doc, _, text) in enumerate(keyed):
+        lines = text.encode().split(b"\n")
+        taken = {(a, b) for a, b in own_chunks(lines) if len(b" ".join(lines[a:b]).split()) >= (50 if b - a == 1 else 10)}
+        spans[at] = sorted(taken | own_windows(lines) if passages else taken)
+        for a, b in spans[at]:
+            first.setdefault(b"\n".join(lines[a:b]), (at, a, b))
+    for at, (_, doc, _, text) in enumerate(keyed):
+        lines, gone = text.encode().split(b"\n"), set()
+        for a, b in spans[at]:
+            where, fa, fb = first[b"\n".join(lines[a:b])]
+            if where != at or a >= fb:
+                gone.update(range(a, b))
+        out[(doc, text)] = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
     return out
 
 
@@ -60,16 +90,17 @@ def _key(text):
 
 def test_line_dedup_against_brute_force(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(documents.select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars").toDF("doc_id", "text", "lang", "source", "n_chars"))
-    want = brute_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
     before = {(r["doc_id"], r["text"]) for r in docs.collect()}
-    got = line_chunks.remove_repeats(docs)
-    assert got.columns == docs.columns and got.count() == docs.count()
-    texts = {}
-    for r in got.collect():
-        texts.setdefault(r["doc_id"], set()).add(r["text"])
-    for doc, text in before:
-        assert (want[(doc, text)] if text is not None else None) in texts[doc]
-    assert any(len(want[k]) < len(k[1]) for k in want)
+    for passages in (False, True):
+        want = brute_dedup(before, passages)
+        got = line_chunks.remove_repeats(docs, passages=passages)
+        assert got.columns == docs.columns and got.count() == docs.count()
+        texts = {}
+        for r in got.collect():
+            texts.setdefault(r["doc_id"], set()).add(r["text"])
+        for doc, text in before:
+            assert (want[(doc, text)] if text is not None else None) in texts[doc]
+        assert any(len(want[k]) < len(k[1]) for k in want)
 
 
 def test_bytes_decide_where_hashes_meet(spark):
@@ -87,6 +118,16 @@ def test_chunks_resist_shifts():
     assert [b for a, b, _ in line_chunks.chunk_ends(lines)][-1] == 120
 
 
+def test_line_dedup_columns_may_have_any_name(spark):
+    passage = "\n".join(" ".join(f"l{j}w{k}" for k in range(30)) for j in range(3))
+    docs = spark.createDataFrame([(i, f"own {i}\n{passage}", "a", "b", "c", "d", "e") for i in range(3)], "doc_id long, text string, id string, text_key string, marks string, unlike string, places string")
+    for bits in (128, 1):
+        got = line_chunks.remove_repeats(docs, bits=bits, passages=True)
+        rows = got.collect()
+        assert got.columns == docs.columns and all(tuple(r)[2:] == ("a", "b", "c", "d", "e") for r in rows)
+        assert bits < 128 or sorted(r["text"] for r in rows) == sorted([f"own 0\n{passage}", "own 1", "own 2"])
+
+
 def test_line_dedup_cases(documents, empty, spark):
     rows = line_chunks.dedup_report(documents).collect()
     assert len(rows) == 8 and line_chunks.dedup_report(empty).count() == 0
@@ -256,7 +297,7 @@ def test_pipeline_against_brute_force(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     good = quality.measure([t.encode() for _, t in rows], quality.Limits())["kept"]
     rows = [r for r, k in zip(rows, good) if k]
-    texts = brute_dedup(rows)
+    texts = brute_dedup(rows, passages=True)
     rows = [(d, texts[(d, t)]) for d, t in rows if texts[(d, t)]]
     found = brute_components(rows)
     kept = {d for d, _ in rows if found[d][1] == d}
