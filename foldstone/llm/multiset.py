@@ -9,9 +9,11 @@ adds or subtracts one vector. The vector has two parts:
   words as one run if fewer). The squared length of the difference of two sketches estimates how many runs they do not
   share, from which ``likeness`` follows.
 
-Defined cases: a null text is an empty one; an empty text is one empty paragraph. Two texts without any word are alike 1
-if their fingerprints are equal and 0 otherwise. Equal texts have equal fingerprints wherever they stand. Rows without a
-doc_id come before all others; rows of one doc_id are ordered by text. A table of one row has itself as the next one.
+Defined cases: a null text is an empty one; an empty text is one empty paragraph; very long texts are summed whole. Two texts
+without any word are alike 1 if their fingerprints are equal and 0 otherwise. Equal texts have equal fingerprints wherever
+they stand. Rows without a doc_id come before all others (as the smallest number); rows of one doc_id are ordered by a hash of
+the text, so that ranges may cut between them, then by text. A table of one row has itself as the next one; an empty one gives no rows. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.text import mix, word_hashes
@@ -140,10 +142,18 @@ def fingerprint_batch(texts: list[str], following: list[str]) -> dict[str, list]
     }
 
 
-def id_cuts(docs: DataFrame, parts: int) -> list[int]:
-    """Up to ``parts - 1`` ids that cut the table into ranges of like numbers of rows."""
-    wanted = [i / parts for i in range(1, parts)]
-    return sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("v")).where("v is not null").approxQuantile("v", wanted, 0.25 / parts)}) if wanted else []
+def row_cuts(rows: DataFrame, parts: int, each: int = 64) -> list[tuple[int, int]]:
+    """Up to ``parts - 1`` pairs (at, key) that cut ``rows`` into ranges of like numbers of rows: quantiles of a sample by hash of
+    about ``each`` pairs a part, counted before they are gathered. They decide the balance, never a result."""
+    step = max(1, rows.count() // (parts * each))
+    picked = rows.where(F.pmod(F.xxhash64("at", "key"), F.lit(step)) == 0).groupBy("at", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["at"], r["key"], r["n"]) for r in picked.collect())
+    whole, done, cuts = sum(n for *_, n in found), 0, []
+    for at, key, n in found:
+        if done * parts >= (len(cuts) + 1) * whole:
+            cuts.append((at, key))
+        done += n
+    return cuts
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -152,24 +162,23 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 def fingerprint_documents(docs: DataFrame, slice_chars: int = 3_000_000) -> DataFrame:
     """One row per document, each held against the next one in ascending doc_id.
 
-    The table is dealt into id ranges, one shuffle of the text. The first row of every range (a list as long as the
-    number of ranges) is also sent, as a guest, to the end of the range before it, so that no row is collected and no
+    The table is dealt into ranges of (doc_id, text hash), one shuffle of the text. The first row of every range (a list as long
+    as the number of ranges) is also sent, as a guest, to the end of the range before it, so that no row is collected and no
     window runs over the whole table.
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64(text).alias("key"), text.alias("text"))
     parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = id_cuts(source, parts)
-    dealt = source.select(_place_in(cuts).cast("int").alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
-    first = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("row")).orderBy("part").collect()
+    dealt = source.select(_place_in(row_cuts(source.select("at", "key"), parts)).alias("part"), F.lit(0).alias("guest"), "at", "key", "doc_id", "text")
+    first = dealt.groupBy("part").agg(F.min(F.struct("at", "key")).alias("row")).orderBy("part").collect()
     if first:
-        before = [(r["part"], first[i - 1]["part"], r["row"]["doc_id"]) for i, r in enumerate(first)]
-        hosts = spark.createDataFrame(before, "part int, host int, first long")
-        guests = dealt.join(F.broadcast(hosts), (dealt["part"] == hosts["part"]) & dealt["doc_id"].eqNullSafe(hosts["first"]))
-        guests = guests.groupBy("host").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id")).select(F.col("host").alias("part"), F.lit(1).alias("guest"), "doc_id", "text")
-        dealt = dealt.unionByName(guests)
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+        before = [(r["part"], first[i - 1]["part"], *r["row"]) for i, r in enumerate(first)]
+        hosts = spark.createDataFrame(before, "part int, host int, at long, key long")  # as many rows as ranges
+        guests = dealt.join(F.broadcast(hosts), ["part", "at", "key"]).groupBy("host").agg(F.min(F.struct("text", "doc_id", "at", "key")).alias("row"))
+        dealt = dealt.unionByName(guests.select(F.col("host").alias("part"), F.lit(1).alias("guest"), "row.at", "row.key", "row.doc_id", "row.text"))
+    ordered = dealt.repartition("part").sortWithinPartitions("part", "guest", "at", "key", "text").select("part", "guest", "doc_id", "text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int | None, str]] = []
@@ -198,13 +207,17 @@ def fingerprint_documents(docs: DataFrame, slice_chars: int = 3_000_000) -> Data
     return ordered.mapInArrow(over, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _place_in(cuts: list[int]):
-    """How many of the sorted ``cuts`` are at or below doc_id, by halving: a nested CASE as deep as log2 of them."""
+def _place_in(cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted ``cuts`` are at or below a row's (at, key): a search by halving in two literal arrays, so that the
+    expression does not grow with the cuts."""
+    if not cuts:
+        return F.lit(0)
+    ends = [F.split(F.lit(",".join(map(str, column))), ",").cast("array<bigint>") for column in zip(*cuts)]
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
 
-    def halve(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") >= F.lit(cuts[mid]), halve(mid + 1, high)).otherwise(halve(low, mid))
+    def reached(n: Column) -> Column:
+        """Whether the ``n``-th cut is there, and at or below the row."""
+        at, key = (F.get(e, n - 1) for e in ends)
+        return F.coalesce((at < F.col("at")) | (at == F.col("at")) & (key <= F.col("key")), F.lit(False))
 
-    return halve(0, len(cuts))
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(reached(found + step), found + step).otherwise(found))

@@ -202,6 +202,60 @@ def test_multiset_hash_is_homomorphic(lines, random):
     assert one == other and multiset.decode(one.text())[2] == one.runs
 
 
+def own_vector(text):
+    """Exact lanes and signed lanes of a text, summed paragraph by paragraph in plain integers."""
+    import xxhash
+
+    def finish(x):
+        mask = (1 << 64) - 1
+        x = x + 0x9E3779B97F4A7C15 & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    exact, sketch, runs = [0] * 8, [0] * 256, 0
+    for line in text.encode().split(b"\n"):
+        digest = hashlib.blake2b(line, digest_size=64).digest()
+        exact = [(a + b) % (1 << 64) for a, b in zip(exact, struct.unpack("<8Q", digest))]
+        hashes = [xxhash.xxh64_intdigest(w) for w in line.split()]
+        for i in range(max(1, len(hashes) - 2) if hashes else 0):
+            key = hashes[i]
+            for h in hashes[i + 1 : i + 3]:
+                key = finish(key ^ h)
+            key, runs = finish(key), runs + 1
+            sketch[key & 255] += 1 if key >> 63 else -1
+    return (struct.pack("<I", runs) + struct.pack("<8Q", *exact) + struct.pack("<256h", *sketch)).hex()
+
+
+def test_fingerprints_against_plain_sums_and_true_shares():
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(4000)]
+    texts, share = [], []
+    for kept in (0.0, 0.25, 0.5, 0.75, 0.95) * 8:
+        one = [" ".join(rng.choice(words, 30)) for _ in range(40)]
+        other = [line if rng.random() < kept else " ".join(rng.choice(words, 30)) for line in one]
+        texts.append(("\n".join(one), "\n".join(other)))
+        runs = [{tuple(w[i : i + 3]) for line in doc for w in [line.split()] for i in range(len(w) - 2)} for doc in (one, other)]
+        share.append(len(runs[0] & runs[1]) / len(runs[0] | runs[1]))
+    vector = lambda t: multiset.vectors([multiset.paragraphs(t.encode())])
+    for t in [x for pair in texts[:6] for x in pair] + ["", "a", "a b\n\nc d e f"]:
+        assert multiset.encode(*vector(t))[0] == own_vector(t)
+    found = [multiset.likeness(vector(a), vector(b))[0] for a, b in texts]
+    assert np.abs(np.array(found) - share).max() < 0.25 and np.abs(np.array(found) - share).mean() < 0.06
+
+
+def test_ranges_cut_equal_ids_and_nulls(spark):
+    rows = [(7, f"text {i}") for i in range(60)] + [(None, f"none {i}") for i in range(60)] + [(i, f"own {i}") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = docs.selectExpr("coalesce(doc_id, -9223372036854775808) at", "xxhash64(text) key")
+    cuts = multiset.row_cuts(keyed, 12, each=8)
+    assert len(cuts) > 6 and len([c for c in cuts if c[0] == 7]) > 1 and cuts == sorted(cuts)
+    place = {(r["at"], r["key"]): r["part"] for r in keyed.select("at", "key", multiset._place_in(cuts).alias("part")).collect()}
+    assert all(part == sum(c <= k for c in cuts) for k, part in place.items())
+    got = multiset.fingerprint_documents(docs).collect()
+    assert len(got) == 180 and sum(r["doc_id"] is None for r in got) == 60
+
+
 def test_fingerprint_cases(documents, empty, spark):
     rows = multiset.fingerprint_documents(documents).collect()
     assert len(rows) == 8 and multiset.fingerprint_documents(empty).count() == 0
