@@ -3,17 +3,22 @@
 A document's ids are cut only if they do not fit a sequence: into full pieces, with the shorter one first. Pieces go by
 decreasing length into the open sequence that fits best: every residual capacity (tokens, documents, attention cost as
 the sum of squared lengths) must hold the piece, and among those the smallest weighted norm of what remains, or the
-largest weighted dot product of piece and residual, wins. Full pieces are sequences of their own.
+largest weighted dot product of piece and residual, wins. An empty sequence takes any piece of at most its tokens; the cost
+limits what may join it. Full pieces are sequences of their own.
+
+The cost of a sequence is never above its tokens squared, so the default of 95 % of that keeps short pieces from sequences that
+one long piece almost fills, and 64 documents keep piles of near-empty texts apart; both cost few sequences (README).
 
 Ids are those of the vocabulary file of the ``tokenizers`` library; they are made from its tokens and merge ranks by
 ``tiktoken``, several times as fast and equal (tests hold one against the other). Strings of special tokens in a text
 are ordinary text.
 
-Only lengths and checksums leave the scan of the texts. Pieces are dealt by hash to groups of about ``group`` pieces, each
-packed by one task, so no task's work follows the input; a group leaves at most a few sequences part empty.
+Only lengths and checksums leave the scan of the texts. Pieces are dealt by a hash of their place to groups of about ``group``
+pieces, each packed by one task, so no task's work follows the input; a group leaves at most a few sequences part empty.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each on its own; an empty table gives
-no rows.
+Defined cases: a null or empty text is the end id alone; very long texts are cut as above; pieces of equal length go in the
+order of their columns; repeated rows are packed each on its own, and rows without id like others; an empty table gives no
+rows. Other columns of ``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.text import per_slice
+from foldstone.llm.text import fresh, per_slice
 from foldstone.session import materialize, ship
 
 
@@ -37,15 +42,15 @@ class Bins:
     """Capacities of a sequence, and the weights of the three dimensions in the choice."""
 
     tokens: int = 2048
-    documents: int = 1024
-    cost: float = 2048.0**2
+    documents: int = 64
+    cost: float = 0.95 * 2048.0**2
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     choose: str = "norm"  # or "dot"
 
 
 def best_fit(lengths: np.ndarray, bins: Bins = Bins()) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece, pieces of 1 to ``bins.tokens`` tokens."""
-    capacity = np.array([bins.tokens, bins.documents, bins.cost], float)
+    capacity = np.array([bins.tokens, bins.documents, bins.cost], float)  # below 0: a piece that alone costs more
     weights = np.array(bins.weights) / capacity**2
     n = len(lengths)
     sequence, offset = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -53,7 +58,7 @@ def best_fit(lengths: np.ndarray, bins: Bins = Bins()) -> tuple[np.ndarray, np.n
     ids = np.empty(max(n, 1), np.int64)
     used = made = 0
     order = np.argsort(-lengths, kind="stable")
-    if n and ((lengths < 1) | (lengths > bins.tokens) | (lengths.astype(float) ** 2 > bins.cost)).any():
+    if n and ((lengths < 1) | (lengths > bins.tokens)).any():
         raise ValueError("a piece does not fit an empty sequence")
     smallest = int(lengths.min()) if n else 0
     for place, i in enumerate(order.tolist()):
@@ -140,6 +145,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 0, most
 def pack(pieces: DataFrame, bins: Bins = Bins(), group: int = 16_384) -> DataFrame:
     """``pieces`` (with ``length``) and the ``sequence_id`` and ``offset`` of each."""
     pieces = materialize(pieces, "pieces")
+    (group_,) = fresh(pieces, "group")
     ship(pieces.sparkSession)
     groups = max(1, -(-pieces.where(F.col("length") < bins.tokens).count() // group))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
@@ -147,7 +153,7 @@ def pack(pieces: DataFrame, bins: Bins = Bins(), group: int = 16_384) -> DataFra
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
         for batch in batches:
-            keys = batch.column("__group").to_numpy()
+            keys = batch.column(group_).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
             for a, b in zip(cuts, cuts[1:]):
                 if held and keys[a] != of:
@@ -161,14 +167,15 @@ def pack(pieces: DataFrame, bins: Bins = Bins(), group: int = 16_384) -> DataFra
     def answer(held: list[pa.RecordBatch], of: int) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         sequence, offset = best_fit(rows.column("length").to_numpy(), bins)
-        rows = rows.drop_columns(["__group"]).append_column("sequence_id", pa.array((of << 32) + sequence)).append_column("offset", pa.array(offset))
+        rows = rows.drop_columns([group_]).append_column("sequence_id", pa.array((of << 32) + sequence)).append_column("offset", pa.array(offset))
         yield from rows.to_batches(max_chunksize=10_000)
 
     whole = F.col("length") == bins.tokens
     single = pieces.where(whole).withColumn("sequence_id", F.lit(1 << 62).cast("long") + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     names = [c for c in pieces.columns if c in ("doc_id", "piece", "start", "ids_crc32")]
-    dealt = pieces.where(~whole).withColumn("__group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
-    packed = dealt.repartition("__group").sortWithinPartitions("__group", *names).mapInArrow(over, schema)
+    place = F.xxhash64(F.monotonically_increasing_id())  # of a written table: rows alike in all columns part here
+    dealt = pieces.where(~whole).withColumn(group_, F.pmod(place, F.lit(groups)).cast("int"))
+    packed = dealt.repartitionByRange(groups, group_).sortWithinPartitions(group_, *names).mapInArrow(over, schema)
     return packed.unionByName(single)
 
 

@@ -268,20 +268,61 @@ def test_fingerprint_cases(documents, empty, spark):
 # --- 5 packing
 
 
+def one_by_one(lengths, bins):
+    """Sequences by trying every open one for every piece."""
+    capacity = (bins.tokens, bins.documents, bins.cost)
+    scale = [w / c**2 for w, c in zip(bins.weights, capacity)]
+    open_, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for at, left in enumerate(open_):
+            if all(x >= y for x, y in zip(left, need)):
+                value = sum(s * (x - y) ** 2 for s, x, y in zip(scale, left, need)) if bins.choose == "norm" else -sum(s * x * y for s, x, y in zip(scale, left, need))
+                if best is None or value < best[0]:
+                    best = value, at
+        if best is None:
+            best = 0, len(open_)
+            open_.append(capacity)
+        out[i] = best[1]
+        open_[best[1]] = tuple(x - y for x, y in zip(open_[best[1]], need))
+    return [out[i] for i in range(len(lengths))]
+
+
 def test_packing_holds_every_constraint():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2049, 3000)
-    for bins in (packing.Bins(), packing.Bins(choose="dot"), packing.Bins(documents=2), packing.Bins(cost=2048.0**2 * 0.6 + 2048**2 * 0.4)):
+    for bins in (packing.Bins(), packing.Bins(choose="dot"), packing.Bins(documents=2), packing.Bins(cost=2048.0**2 * 0.6)):
         sequence, offset = packing.best_fit(lengths, bins)
         for s in np.unique(sequence):
             at = np.flatnonzero(sequence == s)
-            assert lengths[at].sum() <= bins.tokens and len(at) <= bins.documents and (lengths[at].astype(float) ** 2).sum() <= bins.cost
+            assert lengths[at].sum() <= bins.tokens and len(at) <= bins.documents
+            assert len(at) == 1 or (lengths[at].astype(float) ** 2).sum() <= bins.cost
             order = at[np.argsort(offset[at])]
             assert (offset[order] == np.cumsum(lengths[order]) - lengths[order]).all()
     sequence, _ = packing.best_fit(lengths)
     assert len(np.unique(sequence)) <= 1.02 * max(lengths.sum() / 2048, (lengths > 1024).sum())
 
 
+@pytest.mark.parametrize("choose", ["norm", "dot"])
+def test_choice_of_sequence_against_one_by_one(choose):
+    rng = np.random.default_rng(1)
+    for most in (2049, 300, 20):
+        lengths = np.sort(rng.integers(1, most, 400))[::-1]  # with many ties
+        for bins in (packing.Bins(choose=choose), packing.Bins(choose=choose, weights=(1.0, 1.0, 1.0), documents=9, cost=2048.0**2 * 0.5)):
+            assert packing.best_fit(lengths, bins)[0].tolist() == one_by_one(lengths.tolist(), bins)
+
+
+def test_each_capacity_alone_decides():
+    free = dict(tokens=2048, documents=10**9, cost=1e18)
+    count = lambda lengths, **kw: len(np.unique(packing.best_fit(np.array(lengths), packing.Bins(**{**free, **kw}))[0]))
+    small, mixed = [8] * 256, [2000] * 10 + [48] * 10
+    assert (count(small), count(small, documents=64), count(small, documents=packing.Bins().documents)) == (1, 4, 4)
+    assert (count(mixed), count(mixed, cost=packing.Bins().cost)) == (10, 11)
+    assert count([2048] * 3, cost=packing.Bins().cost) == 3 and count([1024] * 4, cost=packing.Bins().cost) == 2
+    assert count([1024] * 4, tokens=2047) == 4 and count([700] * 6, cost=2048.0**2 * 0.2) == 6
+
+
 def test_pieces():
     assert packing.pieces_of(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
     assert packing.pieces_of(2048, 2048) == [(0, 2048)] and packing.pieces_of(4096, 2048) == [(0, 2048), (2048, 2048)] and packing.pieces_of(0, 5) == []
@@ -310,6 +351,8 @@ def test_packed_ids_are_the_tokenizers(spark, documents, empty):
             assert offset == end
             end += length
         assert end <= 2048
+    same = packing.pack(spark.range(40_000).selectExpr("cast(1 as bigint) doc_id", "cast(500 as bigint) length"), group=5000).groupBy("sequence_id").count().collect()
+    assert len(same) <= 10_008 and max(r["count"] for r in same) == 4  # rows alike in every column
     assert packing.pack_documents(empty, path, PATTERN).count() == 0 and packing.pack_documents(documents, path, PATTERN).where("doc_id = 5").count() == 2
 
 
