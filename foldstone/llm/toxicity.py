@@ -7,8 +7,10 @@ a short one; a logistic model is fitted on them. The counts come from all traini
 standard errors are kept, the most different ones first. The weights are fitted on at most ``max_rows`` training rows (those with the lowest hashes), the documented bound
 of what the driver gathers. Scoring is one scan: the weights are a fixed-size table.
 
-Defined cases: null and empty texts have no features and score by the intercept alone; labels without a document, or
-null labels, are left out; with one class or no label at all every score is the share of label 1 (0 where there is none).
+Defined cases: null and empty texts have no features and score by the intercept alone; very long texts are read whole; labels
+without a document, or null labels, are left out, and so are rows without id from learning; repeated documents count and are
+scored each; with one class or no label at all every score is the share of label 1 (0 where there is none); an empty table gives
+no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ class Settings:
     least_z: float = 4.0
     alpha: float = 1.0
     l2: float = 0.1
-    steps: int = 400
+    steps: int = 200
     max_rows: int = 12_000
 
 

@@ -514,3 +514,57 @@ def test_toxicity_learns_without_held_out_rows(spark, documents, empty):
     assert toxicity.score_documents(documents, model).count() == 8 and toxicity.score_documents(empty, model).count() == 0
     one_class = toxicity.fit(toxicity.training_rows(docs, labels.where("toxic = 0")))
     assert toxicity.score_documents(documents, one_class).where("score >= 0.5").count() == 0
+
+
+def test_toxicity_counts_and_scores_against_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "ABab", "Über über ÜBER", "x" * 30] + ["".join(rng.choice(list("abcd é"), 25)) for _ in range(60)]
+    settings_ = toxicity.Settings(bits=10, min_texts=1, least_z=0.0, features=300, steps=50)
+
+    def finish(x):
+        mask = (1 << 64) - 1
+        x = x + 0x9E3779B97F4A7C15 & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def grams(text):
+        points, found = [ord(c) for c in f" {text.lower()} "], set()
+        for n in settings_.orders:
+            for i in range(len(points) - n + 1):
+                key = n
+                for p in points[i : i + n]:
+                    key = key * 0x100000001B3 + p & (1 << 64) - 1
+                found.add(finish(key) & 1023)
+        return found
+
+    owner, bucket = toxicity.gram_places(texts, settings_)
+    assert [set(bucket[owner == i].tolist()) for i in range(len(texts))] == [grams(t) for t in texts]
+    labels = [i % 3 == 0 for i in range(len(texts))]
+    train = spark.createDataFrame([(i, t, int(y)) for i, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, label int").repartition(3)
+    clean, toxic = toxicity.class_counts(train, settings_)
+    for got, mark in ((clean, False), (toxic, True)):
+        want = np.zeros(1024, int)
+        for t, y in zip(texts, labels):
+            want[list(grams(t))] += y == mark
+        assert (got == want).all()
+    model = toxicity.fit(train, settings_)
+    scores = toxicity.score_texts(texts, model)
+    for t, score in zip(texts, scores):
+        held = [g for g in grams(t) if model.square[g] > 0]
+        length = math.sqrt(sum(float(model.square[g]) for g in held)) or 1.0
+        z = sum(float(model.weight[g]) for g in held) / length + model.intercept
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Area, recall and clean rows marked on rows that no learning and no choice of settings has seen."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    rows = toxicity.score_documents(docs, model).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null").collect()
+    score, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    area = np.mean(score[y == 1][:, None] > score[y == 0][None]) + np.mean(score[y == 1][:, None] == score[y == 0][None]) / 2
+    recall, marked = (score[y == 1] >= 0.5).mean(), (score[y == 0] >= 0.5).mean()
+    print("held out", len(y), area, recall, marked)
+    assert area > 0.95 and recall > 0.7 and marked < 0.02
