@@ -9,7 +9,9 @@ Pieces come from the vocabulary's pattern. A text without double, leading or tra
 than spaces and line ends splits at these: no piece reaches across, so its words are encoded once and kept. Other texts
 go through the pattern whole. What is kept is bounded by ``CACHE`` words and ``PAIRS`` pairs a worker.
 
-Defined cases: null and empty texts have no ids; repeated rows give repeated results. Bytes decode to the text again.
+Defined cases: null and empty texts have no ids; very long texts and pieces are encoded whole; repeated rows, rows of one id and
+rows without id give a row each; an empty table gives no rows. Bytes decode to the text again. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ _SPLIT = methodcaller("split", " ")
 
 
 class Vocabulary:
-    """Token ids by the hash of their bytes, for whole arrays: each token has one of two places."""
+    """Token ids by the hash of their bytes, for whole arrays: each token has one of two places. What is found by its hash is
+    compared byte by byte."""
 
     BITS = 20
 
@@ -63,6 +66,11 @@ class Vocabulary:
         ids = np.array([r for _, r in short], np.int64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two tokens have the same hash")
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes = np.zeros((len(self.sizes), SHORT), np.uint8)
+        for token, rank in short:
+            self.sizes[rank] = len(token)
+            self.bytes[rank, : len(token)] = np.frombuffer(token, np.uint8)
         self.tables = []
         for multiplier in (_FIRST, _SECOND):
             slots = self._slots(keys, multiplier)
@@ -82,6 +90,10 @@ class Vocabulary:
             out[:, i + 1] = out[:, i] * _BASE + rows[:, i] + np.uint64(1)
         return out
 
+    def are(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each token's bytes are those of its row."""
+        return (self.sizes[ids] == rows.shape[1]) & (self.bytes[ids, : rows.shape[1]] == rows).all(axis=1)
+
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """The ids of tokens with these hashes, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
@@ -202,6 +214,7 @@ class PrefixEncoder:
                 ids = self.vocabulary.look_up(hashes[open_rows, end] - hashes[open_rows, start] * powers[end - start])
                 hit = np.flatnonzero(ids >= 0)
                 if len(hit):
+                    hit = hit[self.vocabulary.are(ids[hit], rows[open_rows[hit], start:end])]
                     held = open_rows[hit]
                     good = self.fits_many(last[held, start], ids[hit])
                     hit, held = hit[good], held[good]

@@ -383,6 +383,15 @@ def test_appends_and_edits_are_exact(data, new, a, b):
     assert edited.last == ENCODER.prefixes(edited.data) and edited.data == (data * 6)[:a] + new + (data * 6)[b:]
 
 
+def test_a_hash_alone_makes_no_token(monkeypatch):
+    encoder = bpe.PrefixEncoder(ENCODER.ranks, PATTERN)
+    pieces = [b"zqxj" + bytes([97 + i % 26, 97 + i // 26]) for i in range(200)]
+    want = encoder._pack_equal(pieces)
+    look_up = encoder.vocabulary.look_up
+    monkeypatch.setattr(encoder.vocabulary, "look_up", lambda keys: np.where(look_up(keys) >= 0, look_up(keys), 1000 + keys.astype(np.int64) % 7))
+    assert encoder._pack_equal(pieces) == want  # every byte string meets some token's hash
+
+
 def test_encoding_query(spark, documents, empty):
     for r in bpe.encode_documents(documents, PATH, PATTERN, with_ids=True).collect():
         assert r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(r['ids'])}I", *r["ids"])).hexdigest()
