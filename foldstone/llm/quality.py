@@ -4,8 +4,9 @@ A text compresses too well when it repeats itself and too badly when it is noise
 compressed bytes) is taken of the whole text and of fixed chunks, each held against limits for its length, since short
 texts carry the frame's overhead and long ones share more.
 
-Defined cases: a null or empty text has no words and fails the word count; white space alone likewise. Repeated rows
-are judged alike, row by row. Other columns pass through untouched, whatever their names and nulls.
+Defined cases: a null or empty text has no words and fails the word count; white space alone likewise; very long texts are counted
+and packed whole; a ratio at a limit is within it. Repeated rows are judged alike, row by row, and rows without id like others;
+an empty table gives no rows. Other columns pass through untouched, whatever their names and nulls.
 """
 
 from __future__ import annotations

@@ -5,12 +5,17 @@ together, and the first point clockwise owns it. No shard takes more than its bo
 ceiling of the mean, so counts are at most one apart. What overflows a full shard, from the end of its own arcs, goes on
 clockwise to the next shard with room; all other rows stay where the ring puts them.
 
+Equal bounds have a price, on the tables of sf0.1: of 583 groups of equal texts 2 stand on two shards, since a full shard's
+overflow cuts them, and a 41st shard moves 4.2 % of the rows where a ring without bounds would move 2.4 %. ``slack`` lowers both.
+
 The rows of an arc are counted in cells, a number of them in proportion to the arc's rows (a text that holds a third of all
 rows spreads over many cells). The driver plans on the counts alone: at most ``shards * vnodes + cells`` rows, fixed by
-parameters whatever the input. Rows then take their rank in their cell; no text is shuffled.
+parameters whatever the input. The texts are read once, for a narrow table that all counts
+and ranks are taken from; rows take their rank in their cell, and no text is shuffled.
 
-Defined cases: a null text has size 16, checksum 0 and the place of the empty text; rows without doc_id are placed like
-others; repeated rows take ranks of their own; an empty table gives no rows.
+Defined cases: a null text has size 16, checksum 0 and the place of the empty text; very long texts count by their bytes, hashed
+whole; rows without doc_id are placed like others; ties in place are ranked by checksum, size and id, and repeated rows take ranks
+of their own; an empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldstone.session import materialize
+
 RING = 1 << 32
 
 
@@ -82,6 +89,7 @@ def assign(docs: DataFrame, shards: int = 40, vnodes: int = 128, slack: float =
         F.pmod(F.xxhash64(body), F.lit(RING)).alias("place"),
         F.xxhash64("doc_id").alias("salt"),
     )
+    rows = materialize(rows, "ring")
     arc_of = spark.createDataFrame(_ranges(points), "bucket int, low long, high long, arc int")
     rows = rows.withColumn("bucket", F.shiftright("place", 20).cast("int"))
     # 4,096 buckets of the ring with the arcs that reach into each: a table fixed by shards * vnodes

@@ -493,6 +493,30 @@ def test_plan_against_one_by_one():
     assert sorted(got) == sorted(want) and taken == bounds
 
 
+def test_equal_texts_and_one_more_shard(spark):
+    """What equal bounds cost: few groups of equal texts are cut, few rows move."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    before, after = ({r["doc_id"]: r["shard"] for r in ring.assign(docs, n).collect()} for n in (40, 41))
+    groups = {}
+    for d, t in texts.items():
+        groups.setdefault(t, set()).add(before[d])
+    several = [t for t in groups if sum(x == t for x in texts.values()) > 1]
+    split = sum(len(groups[t]) > 1 for t in several)
+    moved = sum(before[d] != after[d] for d in before) / len(before)
+    print("groups", len(several), "split", split, "moved", moved)
+    assert len(several) > 50 and split <= 0.08 * len(several) and moved < 0.08
+
+
+def test_ties_on_the_ring(spark):
+    docs = spark.createDataFrame([(i % 7 if i % 3 else None, "one text" if i % 2 else "") for i in range(300)], "doc_id long, text string")
+    rows = ring.assign(docs, 7, cells=50).collect()
+    counts = np.bincount([r["shard"] for r in rows], minlength=7)
+    assert len(rows) == 300 and counts.max() - counts.min() <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s])) for s in range(7))
+
+
 def test_slack_moves_little(spark):
     docs = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text")
     before = {r["doc_id"]: r["shard"] for r in ring.assign(docs, 10, slack=0.2).collect()}
