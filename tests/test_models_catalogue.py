@@ -20,21 +20,44 @@ def test_learners_rank_a_signal():
 
 
 def test_random_folds_flatter_a_smooth_field(spark):
+    """1,500 places, six plane waves and noise; places are the only features."""
     from foldstone.operators import folds, metrics
 
-    rng = np.random.default_rng(0)
-    xy = rng.random((900, 2)) * 150_000
-    centres = rng.random((25, 2)) * 150_000
-    field = np.exp(-(((xy[:, None] - centres) / 15_000) ** 2).sum(axis=2)) @ rng.normal(size=25)
-    rows = [(i, int(f > np.median(field)), float(a), float(b)) for i, ((a, b), f) in enumerate(zip(xy, field))]
-    points = spark.createDataFrame(rows, "id int, label int, x double, y double")
+    rng = np.random.default_rng(42)
+    xy = rng.uniform(0, 150_000, size=(1500, 2))
+    waves = [(rng.normal(0, 2 * np.pi / 30_000, size=2), rng.uniform(0, 2 * np.pi)) for _ in range(6)]
+    field = sum(np.sin(xy @ k + phase) for k, phase in waves)
+    y = field + rng.normal(0, 0.3, len(xy)) > np.median(field)
+    points = spark.createDataFrame([(i, int(f), float(a), float(b)) for i, ((a, b), f) in enumerate(zip(xy, y))], "id int, label int, x double, y double")
+    learner = models.Learner("forest", trees=80, min_leaf=1, balanced=False)
     scored = []
     for kind, dealt, buffer in (("random", folds.stratified_folds(points), 0.0), ("spatial", folds.spatial_folds(points, 30_000.0), 5000.0)):
         training = folds.buffered_training(dealt, 5, buffer)
-        found = models.fold_predictions(models.roles(dealt, training), ["x", "y"], "forest", trees=40, tasks=4)
+        found = models.fold_predictions(models.roles(dealt, training), ["x", "y"], learner)
         scored.append(found.select(F.lit(kind).alias("kind"), F.col("test_fold").alias("fold"), "y", "score"))
     gap = metrics.compare(scored[0].unionByName(scored[1])).first()
-    assert gap["random_auroc_mean"] > 0.8 and gap["auroc_gap"] > 0.1
+    assert gap["random_auroc_mean"] > 0.80 and gap["auroc_gap"] > 0.15, gap
+
+
+def test_forests_are_fitted_alike_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=1200) > 0).astype(int)
+    fold = np.arange(1200) % 2
+    rows = [(f, "test" if fold[i] == f else "train", i, int(y[i]), *map(float, x[i])) for f in range(2) for i in range(1200)]
+    table = spark.createDataFrame(rows, "test_fold int, role string, id long, label int, a double, b double, c double")
+    run = lambda **kw: {r["id"]: r["score"] for r in models.fold_predictions(table, ["a", "b", "c"], models.Learner("forest", trees=12, tasks=4, **kw)).collect()}
+    want = {}
+    for f in range(2):
+        train, test = fold != f, np.flatnonzero(fold == f)
+        want |= dict(zip(test.tolist(), np.mean([models.forest_share(x[train], y[train], x[test], 3, s) for s in range(4)], axis=0)))
+    whole = run()
+    assert all(whole[i] == pytest.approx(want[i]) for i in range(1200))
+    monkeypatch.setattr(models, "SCORED_ROWS", 100)  # many blocks
+    assert run() == pytest.approx(whole)
+    part = run(most_rows=200)
+    ranks = np.corrcoef([part[i] for i in range(1200)], [whole[i] for i in range(1200)])[0, 1]
+    assert part.keys() == whole.keys() and part != whole and ranks > 0.85
 
 
 def test_large_fits_use_the_same_learners(spark, monkeypatch):
