@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foldstone.functions.columns import ACCURACY_KM, event_time, lookup, stripped
 
@@ -23,11 +22,24 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("__first")).select(*keys, *[F.col("__first")[c].alias(c) for c in names])
 
 
-def row_account(rows: DataFrame, needed: list[str]) -> DataFrame:
-    """One row: how many rows there are, how many have every needed value, and how many are dropped."""
-    whole = F.lit(True)
+def has_all(rows: DataFrame, needed: list[str]) -> Column:
+    """Whether a row has every needed value; not-a-number counts as missing."""
+    kinds, whole = dict(rows.dtypes), F.lit(True)
     for c in needed:
         whole = whole & F.col(c).isNotNull()
+        if kinds[c] in ("double", "float"):
+            whole = whole & ~F.isnan(c)
+    return F.coalesce(whole, F.lit(False))
+
+
+def complete(rows: DataFrame, needed: list[str]) -> DataFrame:
+    """The rows that have every needed value."""
+    return rows.where(has_all(rows, needed))
+
+
+def row_account(rows: DataFrame, needed: list[str]) -> DataFrame:
+    """One row: how many rows there are, how many have every needed value, and how many are dropped."""
+    whole = has_all(rows, needed)
     return rows.agg(F.count(F.lit(1)).alias("before"), F.count_if(whole).alias("after"), F.count_if(~whole).alias("dropped"))
 
 
@@ -40,8 +52,3 @@ def set_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Exact median, mean and count of a value by set."""
     return rows.groupBy(by).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
-
-def first_of_position(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """As ``keep_first``, with the whole rows kept as they are: for rows too wide to aggregate."""
-    order = Window.partitionBy(*keys).orderBy(ordinal)
-    return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")

@@ -9,7 +9,7 @@ from foldstone.functions.columns import crosses_ray, segment_distance
 from foldstone.session import materialize
 
 
-def _cells_around(df: DataFrame, x: str, y: str, size: float, reach: int = 1) -> DataFrame:
+def _cells_around(df: DataFrame, x: str, y: str, size: Column | float, reach: int = 1) -> DataFrame:
     step = F.sequence(F.lit(-reach), F.lit(reach))
     return df.withColumn("cx", F.explode(F.transform(step, lambda d: (F.floor(F.col(x) / size) + d).cast("long")))).withColumn("cy", F.explode(F.transform(step, lambda d: (F.floor(F.col(y) / size) + d).cast("long"))))
 
@@ -119,16 +119,16 @@ def unoccupied(cells: DataFrame, points: DataFrame, xmin: float, ymax: float, ce
     return cells.join(taken, ["r", "c"], "left_anti")
 
 
-def beyond(points: DataFrame, others: DataFrame, keys: list[str], limit: float) -> DataFrame:
+def beyond(points: DataFrame, others: DataFrame, keys: list[str], limit: Column | float) -> DataFrame:
     """``points`` (keys, x, y, ...) that are farther than ``limit`` from all of ``others`` (keys, x, y) with equal keys: an
-    anti join on grid cells as wide as the limit."""
-    size = max(limit, 1e-9)
-    near = _cells_around(others.select(*keys, F.col("x").alias("ox"), F.col("y").alias("oy")), "ox", "oy", size)
-    own = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    anti join on grid cells as wide as the limit, which may be a column that both sides have and that follows from the keys."""
+    size = F.greatest(limit if isinstance(limit, Column) else F.lit(float(limit)), F.lit(1e-9))
+    near = others.select(*keys, F.col("x").alias("ox"), F.col("y").alias("oy"), size.alias("size"))
+    near = _cells_around(near, "ox", "oy", F.col("size")).drop("size")
+    own = points.withColumn("size", size).withColumn("cx", F.floor(F.col("x") / F.col("size"))).withColumn("cy", F.floor(F.col("y") / F.col("size")))
     same = [own[k].eqNullSafe(near[k]) for k in [*keys, "cx", "cy"]]
-    close = F.hypot(own["x"] - near["ox"], own["y"] - near["oy"]) <= limit
+    close = F.hypot(own["x"] - near["ox"], own["y"] - near["oy"]) <= own["size"]
     met = same[0]
     for c in same[1:]:
         met = met & c
-    return own.join(near, met & close, "left_anti").drop("cx", "cy")
-
+    return own.join(near, met & close, "left_anti").drop("cx", "cy", "size")

@@ -155,7 +155,9 @@ def test_first_row_wins_and_accounts(spark):
     rows = spark.createDataFrame([("a", 2, 1.0), ("a", 1, None), ("b", 3, 5.0)], "k string, n int, v double")
     assert {r["k"]: r["v"] for r in catalogue.keep_first(rows, ["k"], ["n"]).collect()} == {"a": None, "b": 5.0}
     assert catalogue.row_account(rows, ["v"]).first().asDict() == {"before": 3, "after": 2, "dropped": 1}
-    assert catalogue.first_of_position(rows, ["k"], "n").count() == 2
+    holes = spark.createDataFrame([(1.0, 1.0), (float("nan"), 1.0), (None, 1.0), (2.0, None)], "a double, b double")
+    assert catalogue.complete(holes, ["a", "b"]).count() == 1 and catalogue.complete(holes, ["b"]).count() == 3
+    assert catalogue.row_account(holes, ["a"]).first().asDict() == {"before": 4, "after": 2, "dropped": 2}
 
 
 def test_headline_and_grid(spark):

@@ -15,7 +15,7 @@ def test_samples_are_distinct_and_follow_weights(spark):
     assert sampling.sample_cells(cells(spark), 50, 3, "w").where("w = 0").count() == 0
 
 
-@pytest.mark.parametrize("weight,n,said", [(None, 500, "only 400"), ("z", 5, "zero"), ("w", 200, "Fewer")])
+@pytest.mark.parametrize("weight,n,said", [(None, 500, "500 .* from 400"), ("z", 5, "no cell .* weight above zero"), ("w", 200, "200 .* that have a weight")])
 def test_sample_errors(spark, weight, n, said):
     with pytest.raises(ValueError, match=said):
         sampling.sample_cells(cells(spark).withColumn("z", F.lit(0.0)), n, 0, weight)
@@ -63,7 +63,7 @@ def test_blocks_are_never_split_and_buffers_hold(spark):
 
 
 def test_too_few_blocks(spark):
-    with pytest.raises(ValueError, match="blocks for 5 folds"):
+    with pytest.raises(ValueError, match="5 folds need 5 blocks"):
         folds.spatial_folds(points(spark, 50, 1000), 1e4)
 
 
