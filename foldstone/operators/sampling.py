@@ -15,20 +15,25 @@ def sort_key(seed: Column | int, key: Column, weight: Column | None = None) -> C
     return u if weight is None else -F.ln(u) / weight
 
 
-def sample_cells(cells: DataFrame, n: int, seed: int, weight: str | None = None) -> DataFrame:
-    """``n`` distinct rows of ``cells`` (id, ...), with chances by ``weight`` (negative ones count as 0)."""
+def enough(cells: DataFrame, n: int, weight: str | None = None) -> None:
+    """Raise unless ``n`` distinct rows can be drawn, with weights above zero if these are to count."""
     allowed = cells.count()
     if n > allowed:
         raise ValueError(f"{n} cells cannot be drawn from {allowed}.")
-    key = sort_key(seed, F.col("id"))
     if weight is not None:
-        positive = cells.where(F.col(weight) > 0)
-        found = positive.count()
+        found = cells.where(F.col(weight) > 0).count()
         if not found:
             raise ValueError("no cell that may be drawn has a weight above zero")
         if found < n:
             raise ValueError(f"{n} cells cannot be drawn from {found} that have a weight above zero")
-        cells, key = positive, sort_key(seed, F.col("id"), F.col(weight))
+
+
+def sample_cells(cells: DataFrame, n: int, seed: int, weight: str | None = None) -> DataFrame:
+    """``n`` distinct rows of ``cells`` (id, ...), with chances by ``weight`` (negative ones count as 0)."""
+    enough(cells, n, weight)
+    key = sort_key(seed, F.col("id"))
+    if weight is not None:
+        cells, key = cells.where(F.col(weight) > 0), sort_key(seed, F.col("id"), F.col(weight))
     return cells.withColumn("key", key).orderBy("key", "id").limit(n).drop("key")
 
 

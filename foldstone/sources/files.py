@@ -1,23 +1,19 @@
-"""Readers and writers: catalogues, features of the web service, rasters, ways, gates, documents and maps."""
+"""Readers and writers: catalogues, features of the web service, ways, boundaries, tables, gates, documents and maps."""
 
 from __future__ import annotations
 
 import html
 import json
-import struct
-import zlib
+import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from foldstone.functions.columns import colour, two_digits
-from foldstone.session import ship
+from foldstone.functions.columns import colour, two_digits, utm_forward
 
 CATALOGUE = ("country_name", "location_accuracy", "event_id", "event_date", "longitude", "latitude")
 _FEATURE = "struct<geometry:struct<coordinates:array<double>>,properties:struct<event_id:string,event_date:string,location_accuracy:string,event_import_source:string,source_name:string,source_link:string>>"
@@ -104,70 +100,54 @@ def ring_edges(spark: SparkSession, path: str) -> DataFrame:
     return each.select("part", "ring", "i", a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"))
 
 
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
-_CODES = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-
-
-def decode_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """The first band of a plain or deflated TIFF in strips or tiles, and its georeference (x0, y0, dx, dy, nodata)."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags: dict[int, tuple] = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        place = at + 10 + 12 * i
-        if _SIZES.get(kind, 1) * count > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
-        tags[tag] = (data[place : place + count].split(b"\0")[0].decode(),) if kind == 2 else struct.unpack_from(f"{order}{count}{_CODES.get(kind, 'B')}", data, place)
-    width, height, bits = tags[256][0], tags[257][0], tags.get(258, (8,))[0]
-    dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(339, (1,))[0]] }{bits // 8}")
-    tiled = 322 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, (height,))[0])
-    out = np.zeros((height, width), dtype.newbyteorder("="))
-    across = -(-width // tw)
-    for i, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279])):
-        raw = data[start : start + size]
-        if tags.get(259, (1,))[0] in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif tags.get(259, (1,))[0] != 1:
-            raise ValueError("only plain and deflated TIFF files are read")
-        r, c = i // across * th, i % across * tw
-        rows = th if tiled else min(th, height - r)
-        part = np.frombuffer(raw, dtype, rows * tw).reshape(rows, tw)
-        if tags.get(317, (1,))[0] == 2:
-            part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
-        out[r : r + rows, c : c + tw] = part[: height - r, : width - c]
-    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    nodata = float(tags[42113][0]) if 42113 in tags else None
-    return out, {"x0": tie[3], "y0": tie[4], "dx": scale[0], "dy": scale[1], "nodata": nodata}
-
-
-def read_rasters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, r, c, v) of TIFF rasters, one task a file; no-data and not-a-number values are NULL."""
-    ship(spark)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                grid, where = decode_tiff(content)
-                for r in range(0, grid.shape[0], 64):
-                    part = grid[r : r + 64].astype(np.float64)
-                    missing = ~np.isfinite(part) if where["nodata"] is None else ~np.isfinite(part) | (part == where["nodata"])
-                    rr, cc = np.indices(part.shape)
-                    yield pa.RecordBatch.from_pydict({"path": [path] * part.size, "r": pa.array(rr.ravel() + r, pa.int64()), "c": pa.array(cc.ravel(), pa.int64()), "v": pa.array(part.ravel(), mask=missing.ravel())})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(over, "path string, r long, c long, v double")
+def projected(edges: DataFrame) -> DataFrame:
+    """Edges in degrees as edges in metres; further columns stay."""
+    (x0, y0), (x1, y1) = utm_forward(F.col("x0"), F.col("y0")), utm_forward(F.col("x1"), F.col("y1"))
+    return edges.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1})
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of results or features in CSV with a header, by its schema."""
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """``rows`` as CSV with a header: a folder, or one file where ``path`` ends in .csv (reports; written by one task)."""
+    if not path.endswith(".csv"):
+        rows.write.mode("overwrite").csv(path, header=True)
+        return
+    spark = rows.sparkSession
+    part = f"{path}.part-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.csv(part, header=True)
+    paths = spark._jvm.org.apache.hadoop.fs
+    system = paths.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    (written,) = list_files(spark, f"{part}/part-*")
+    system.delete(paths.Path(path), False)
+    system.rename(paths.Path(written), paths.Path(path))
+    system.delete(paths.Path(part), True)
+
+
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern with stars meets, in order, on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or ())
+
+
+def years_of(paths: list[str]) -> list[int]:
+    """The years that file names end in, before the extension."""
+    return [int(p.rsplit(".", 2)[-2][-4:]) for p in paths]
 
 
 def require_years(found: list[int], first: int, last: int) -> None:
     """Raise unless ``found`` is exactly every year from ``first`` to ``last``."""
     if sorted(found) != list(range(first, last + 1)):
-        raise ValueError(f"Expected annual files {first} to {last}, found {sorted(found)}.")
+        raise ValueError(f"one file a year from {first} to {last} is needed; the years there are {sorted(found)}")
 
 
 def require_count(names: list[str], expected: int, what: str) -> None:
     if len(names) != expected:
-        raise ValueError(f"Expected {expected} {what}, found {len(names)}.")
+        raise ValueError(f"{expected} {what} are needed; there are {len(names)}")
 
 
 def write_document(summary: DataFrame, path: str) -> None:
@@ -175,15 +155,25 @@ def write_document(summary: DataFrame, path: str) -> None:
     summary.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+#: The layers of a map and what their marks look like: radius, outline, opacity.
+LAYERS = {0: ("Scores at background places", 3, "none", 0.55), 1: ("Reported events", 4, "#1b1b1b", 0.9)}
+LEGEND = (("#7b3294", "reported event"), ("#2c7bb6", "score below a third"), ("#fdae61", "a third to two thirds"), ("#d7191c", "above two thirds"))
+
+
 def map_page(samples: DataFrame, most: int = 10_000) -> str:
-    """A page that draws samples (id, lon, lat, label, score) as coloured marks; refuses more than ``most`` rows."""
+    """A page that draws samples (id, lon, lat, label, score) as coloured marks, in one layer for each label that can be shown or hidden,
+    with a legend; refuses more than ``most`` rows."""
     rows = samples.select("id", "lon", "lat", "label", two_digits(F.col("score")).alias("score"), colour(F.col("score")).alias("colour")).orderBy("id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"A map shows at most {most} samples.")
-    marks = []
+    marks: dict[int, list[str]] = {label: [] for label in LAYERS}
     for r in rows:
+        _, radius, outline, opacity = LAYERS[r["label"]]
         x, y = 10 + (r["lon"] - 80.0) * 100, 10 + (30.7 - r["lat"]) * 110
         said = ("Reported event" if r["label"] else "Background sample") + f", score {r['score']}"
-        fill = "#7b3294" if r["label"] else r["colour"]
-        marks.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{4 if r["label"] else 3}" fill="{fill}"><title>{html.escape(said)}</title></circle>')
-    return f'<!doctype html><title>Model scores</title><svg viewBox="0 0 870 520">{"".join(marks)}</svg><p>Scores of sampled places; not a forecast.</p>'
+        fill = LEGEND[0][0] if r["label"] else r["colour"]
+        marks[r["label"]].append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{radius}" fill="{fill}" stroke="{outline}" fill-opacity="{opacity}"><title>{html.escape(said)}</title></circle>')
+    switches = "".join(f'<label><input type="checkbox" checked onchange="document.getElementById(\'layer{k}\').style.display=this.checked?\'\':\'none\'"> {name}</label> ' for k, (name, *_) in LAYERS.items())
+    layers = "".join(f'<g id="layer{k}">{"".join(marks[k])}</g>' for k in LAYERS)
+    legend = "".join(f'<li style="color:{fill}">&#9679; <span style="color:black">{text}</span></li>' for fill, text in LEGEND)
+    return f'<!doctype html><title>Model scores</title>{switches}<svg viewBox="0 0 870 520">{layers}</svg><ul style="list-style:none">{legend}</ul><p>Scores of sampled places by a model of the terrain; neither a surface nor a forecast.</p>'

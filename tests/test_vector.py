@@ -41,6 +41,45 @@ def test_polygon_with_a_notch(spark):
     assert vector.rasterize(edges, 0.0, 10.0, 10, 10, 1.0).count() == pytest.approx(75, abs=6)
 
 
+def test_polygons_of_many_edges_against_plain_parity(spark):
+    rng = np.random.default_rng(8)
+    angle = np.sort(rng.random(400)) * 2 * np.pi
+    radius = 50 + 40 * rng.random(400)
+    ring = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=1).round(1)
+    ring[:40, 1] = ring[:40, 1].round(0)  # level edges and corners at points' heights
+    hole = ring[::-7] * 0.2
+    edges = [(*a, *b) for r in (ring, hole) for a, b in zip(r, np.roll(r, -1, axis=0))]
+    xy = np.concatenate([rng.uniform(-100, 100, (1500, 2)).round(1), ring[:50], np.stack([rng.uniform(-100, 100, 100), ring[:100, 1]], axis=1)])
+    want = [sum((y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 for x0, y0, x1, y1 in edges) % 2 == 1 for x, y in xy]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x double, y double")
+    lines = spark.createDataFrame([tuple(map(float, e)) for e in edges], "x0 double, y0 double, x1 double, y1 double")
+    for least in (1, 50, 5000):
+        found = {r["id"]: r["inside"] for r in vector.within(points, lines, least).collect()}
+        assert [found[i] for i in range(len(xy))] == want
+
+
+def test_far_points_meet_few_targets(spark):
+    rng = np.random.default_rng(9)
+    town = np.concatenate([rng.normal(0, 300, (800, 2)), rng.uniform(-4e5, 4e5, (30, 2))])
+    places = np.concatenate([rng.uniform(-4e5, 4e5, (200, 2)), rng.normal(0, 500, (100, 2))])
+    ends = town + rng.normal(0, 4000, town.shape)
+    lines = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(town, ends)], "x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "id int, x double, y double")
+    found = {r["id"]: r["distance"] for r in vector.nearest_line(points, lines, 1000.0).collect()}
+    d = ends - town
+    t = np.clip(((places[:, None] - town) * d).sum(axis=2) / (d**2).sum(axis=1), 0, 1)
+    want = np.hypot(*(places[:, None] - town - t[:, :, None] * d).transpose(2, 0, 1)).min(axis=1)
+    assert [found[i] for i in range(300)] == pytest.approx(want.tolist())
+
+
+def test_boxes_that_meet_a_boundary(spark):
+    ring = [(0, 0, 10, 0), (10, 0, 10, 10), (10, 10, 0, 10), (0, 10, 0, 0)]
+    edges = spark.createDataFrame([tuple(map(float, e)) for e in ring], "x0 double, y0 double, x1 double, y1 double")
+    boxes = [("in", 4, 4, 5, 5), ("over", 9, 9, 12, 12), ("out", 11, 0, 12, 1), ("around", -5, -5, 15, 15), ("beside", -3, 4, -1, 6)]
+    rows = spark.createDataFrame([(n, *map(float, b)) for n, *b in boxes], "name string, l double, b double, r double, t double")
+    assert sorted(r["name"] for r in vector.boxes_meeting(rows, edges).collect()) == ["around", "in", "over"]
+
+
 def test_cell_lookup_truncates(spark):
     cells = spark.createDataFrame([(r, c) for r in range(3) for c in range(3)], "r long, c long")
     points = spark.createDataFrame([(-0.5, 2.5)], "x double, y double")  # half a cell west of the grid falls into column 0
