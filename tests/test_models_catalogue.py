@@ -1,6 +1,4 @@
 import json
-import struct
-import zlib
 
 import numpy as np
 import pytest
@@ -109,25 +107,6 @@ def test_feature_adapter_and_pages(spark):
     assert asked == [None, 0, 2] and sum(len(p["features"]) for p in pages) == 3
 
 
-def tiff(grid, deflate):
-    raw = grid.astype("<f4").tobytes()
-    raw = zlib.compress(raw) if deflate else raw
-    tags = [(256, 4, grid.shape[1]), (257, 4, grid.shape[0]), (258, 3, 32), (259, 3, 8 if deflate else 1), (273, 4, 8), (278, 4, grid.shape[0]), (279, 4, len(raw)), (339, 3, 3)]
-    out = b"II*\0" + struct.pack("<I", 8 + len(raw)) + raw + struct.pack("<H", len(tags))
-    for tag, kind, value in tags:
-        out += struct.pack("<HHI", tag, kind, 1) + (struct.pack("<I", value) if kind == 4 else struct.pack("<HH", value, 0))
-    return out + struct.pack("<I", 0)
-
-
-@pytest.mark.parametrize("deflate", [False, True])
-def test_rasters_are_read(spark, tmp_path, deflate):
-    grid = np.arange(12, dtype=float).reshape(3, 4)
-    grid[1, 1] = np.nan
-    (tmp_path / "a.tif").write_bytes(tiff(grid, deflate))
-    found = {(r["r"], r["c"]): r["v"] for r in files.read_rasters(spark, str(tmp_path)).collect()}
-    assert found[(2, 3)] == 11 and found[(1, 1)] is None and len(found) == 12
-
-
 def test_gates_and_sinks(spark, tmp_path):
     files.require_years([1991, 1992], 1991, 1992)
     with pytest.raises(ValueError):
@@ -138,6 +117,7 @@ def test_gates_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "meta")).first()["s"] == "a"
     page = files.map_page(spark.createDataFrame([(1, 85.0, 28.0, 1, 0.9), (2, 84.0, 28.0, 0, 0.1)], "id int, lon double, lat double, label int, score double"))
     assert page.count("<circle") == 2 and "#2c7bb6" in page
+    assert page.count("<g id=") == page.count("checkbox") == 2 and page.count("<li") == 4
 
 
 def test_ways_and_boundaries(spark, tmp_path):
