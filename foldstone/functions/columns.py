@@ -92,18 +92,19 @@ def two_digits(value: Column) -> Column:
     return F.format_string("%.2f", whole / 100)
 
 
-# Transverse Mercator on WGS84, zone 45 north: radius, flattening, scale, central meridian, false easting.
+# Transverse Mercator on WGS84, zone 45 north: radius, flattening, scale, central meridian, false easting. The series are the
+# published ones in the third flattening n, up to its fourth power.
 _A, _F, _K0, _LON0, _E0 = 6378137.0, 1 / 298.257223563, 0.9996, 87.0, 500000.0
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
 _ECC = 2 * math.sqrt(_N) / (1 + _N)
 
 
 def utm_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Metres east and north, by the third-order series in the flattening."""
+    """Metres east and north, by the series of fourth order in the flattening."""
     phi, lam = F.radians(lat), F.radians(lon - _LON0)
     t = F.sinh(F.atanh(F.sin(phi)) - _ECC * F.atanh(_ECC * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
