@@ -82,7 +82,7 @@ def build(inputs: Inputs, draws: int = 1) -> tuple[DataFrame, DataFrame]:
     return described(points, inputs), far
 
 
-def described(points: DataFrame, inputs: Inputs) -> DataFrame:
+def described(points: DataFrame, inputs: Inputs, radius_km: float = RADIUS_KM) -> DataFrame:
     """The features of ``points`` (id, label, abs_set, draw, longitude, latitude, x, y, ...): rows without all they need go, and of the
     rows of a set and draw in one cell the first stays."""
     row, col = inputs.grid.place(F.col("x"), F.col("y"))
@@ -90,7 +90,7 @@ def described(points: DataFrame, inputs: Inputs) -> DataFrame:
     terrain = raster.terrain_at(inputs.dem, points.select("id", F.col("row").alias("r"), F.col("col").alias("c")), inputs.grid.dx)
     km = lambda lines, name: vector.nearest_line(points, lines).select("id", (F.col("distance") / 1000.0).alias(name))
     rain = raster.sample_at(*inputs.rain, points, "longitude", "latitude").withColumnRenamed("v", "rain_mm")
-    cover = raster.cover_shares(inputs.cover, points.select("id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), RADIUS_KM)
+    cover = raster.cover_shares(inputs.cover, points.select("id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), radius_km)
     whole = assemble(points, terrain, km(inputs.roads, "road_dist_km"), km(inputs.rivers, "river_dist_km"), rain, cover, vector.within(points, inputs.boundary))
     return finished(whole, NEEDED, ["abs_set", "draw", "row", "col"], ["id"]).select("id", *COLUMNS, "draw")
 

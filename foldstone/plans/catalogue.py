@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstone.functions import columns as C
-from foldstone.operators import catalogue, experiment, folds, metrics, models, raster, sampling, vector
+from foldstone.operators import catalogue, experiment, features, folds, metrics, models, raster, sampling, vector
+from foldstone.operators.models import Learner
+from foldstone.operators.raster import Grid
 from foldstone.plans.views import view, with_views
-from foldstone.session import table
+from foldstone.session import shared_folder, table
+from foldstone.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +36,15 @@ def r(name: str, digits: int = 6):
     return F.round(F.col(name), digits).alias(name)
 
 
+#: The published series in SQL, worked out from the ellipsoid: third flattening n, radius r, eccentricity e, and the coefficients.
+_SERIES = """f as (select (1 / 298.257223563e0) / (2 - 1 / 298.257223563e0) n),
+ k as (select n, 0.9996e0 * 6378137e0 / (1 + n) * (1 + n*n/4 + pow(n,4)/64 + pow(n,6)/256) r, 2 * sqrt(n) / (1 + n) e,
+ [n/2 - 2*n*n/3 + 5*pow(n,3)/16 + 41*pow(n,4)/180, 13*n*n/48 - 3*pow(n,3)/5 + 557*pow(n,4)/1440, 61*pow(n,3)/240 - 103*pow(n,4)/140, 49561*pow(n,4)/161280] al,
+ [n/2 - 2*n*n/3 + 37*pow(n,3)/96 - pow(n,4)/360, n*n/48 + pow(n,3)/15 - 437*pow(n,4)/1440, 17*pow(n,3)/480 - 37*pow(n,4)/840, 4397*pow(n,4)/161280] be,
+ [2*n - 2*n*n/3 - 2*pow(n,3) + 116*pow(n,4)/45, 7*n*n/3 - 8*pow(n,3)/5 - 227*pow(n,4)/45, 56*pow(n,3)/15 - 136*pow(n,4)/35, 4279*pow(n,4)/630] de from f)"""
+_SUM = lambda of: f"list_sum(list_transform(range(1, 5), lambda j: {of}))"
+
+
 # --- Rasters ------------------------------------------------------------------------------------------------------
 
 _GRADIENT = """g as (select r, c, v, lag(v) over (partition by r order by c) w, lead(v) over (partition by r order by c) e, lag(v) over (partition by c order by r) n, lead(v) over (partition by c order by r) s from v_dem),
@@ -92,31 +105,78 @@ def landcover_shares(spark, sf_dir):
     return raster.class_shares(view(spark, sf_dir, "v_cover"), view(spark, sf_dir, "v_zpts"), 2.5).select("id", *[r(g) for g in C.COVER_GROUPS])
 
 
+_TARGETS = "(select (g // 30)::bigint r, (g % 30)::bigint c, 300000e0 + (g % 30) * 7000 x, 3250000e0 - (g // 30) * 9000 y from (select unnest(range(900)) g) t)"
+
+
+def _tiles(spark, sf_dir) -> dict[str, tuple[DataFrame, Grid]]:
+    """Two tiles side by side, the second a little over the first, with gaps."""
+    dem = view(spark, sf_dir, "v_dem").withColumn("v", F.when((F.col("r") + F.col("c")) % 13 != 0, F.col("v")))
+    other = dem.withColumn("v", F.col("v") + 5000)
+    return {"a": (dem, Grid(85.0, 29.3, 0.05, 0.05, 50, 20)), "b": (other, Grid(85.9, 29.3, 0.05, 0.05, 50, 20))}
+
+
+@query(
+    f"""with {_SERIES.replace('f as', 'ser as').replace('from f)', 'from ser)')}, t0 as (select * from {_TARGETS}),
+ a as (select t0.r rr, t0.c cc, y / k.r xi, (x - 500000e0) / k.r eta, be, de from t0 cross join k),
+ b as (select *, xi - {_SUM('be[j] * sin(2 * j * xi) * cosh(2 * j * eta)')} xi1, eta - {_SUM('be[j] * cos(2 * j * xi) * sinh(2 * j * eta)')} eta1 from a),
+ g as (select *, asin(sin(xi1) / cosh(eta1)) chi from b),
+ ll as (select rr, cc, 87e0 + degrees(atan2(sinh(eta1), cos(xi1))) lon, degrees(chi + {_SUM('de[j] * sin(2 * j * chi)')}) lat from g),
+ px as (select 0 tile, 85e0 x0, r, c, v from v_dem where (r + c) % 13 <> 0 and r < 50 union all select 1, 85.9e0, r, c, v + 5000 from v_dem where (r + c) % 13 <> 0 and r < 50),
+ spot as (select rr, cc, tile, (29.3e0 - lat) / 0.05e0 fr, (lon - x0) / 0.05e0 fc from ll cross join (values (0, 85e0), (1, 85.9e0)) t(tile, x0)),
+ m as (select rr, cc, spot.tile, sum(v * greatest(0, 1 - abs(fr - 0.5 - px.r)) * greatest(0, 1 - abs(fc - 0.5 - px.c))) / sum(greatest(0, 1 - abs(fr - 0.5 - px.r)) * greatest(0, 1 - abs(fc - 0.5 - px.c))) v
+  from spot join px on px.tile = spot.tile and abs(fr - 0.5 - px.r) < 1 and abs(fc - 0.5 - px.c) < 1 where fr >= 0 and fr < 50 and fc >= 0 and fc < 20 group by 1, 2, 3),
+ o as (select rr, cc, max_by(v, tile) v from m group by 1, 2)
+ select t0.r, t0.c, round(v, 4) v from t0 left join o on o.rr = t0.r and o.cc = t0.c""",
+    "v_dem",
+)
+def bilinear_mosaic(spark, sf_dir):
+    cells = spark.range(900).selectExpr("id div 30 r", "id % 30 c", "300000e0 + (id % 30) * 7000 x", "3250000e0 - (id div 30) * 9000 y")
+    tiles = {name: (tile.where("r < 50"), grid) for name, (tile, grid) in _tiles(spark, sf_dir).items()}
+    return raster.mosaic(tiles, cells).select("r", "c", r("v", 4))
+
+
+@query("select r - 2 r, c - 3 c, round(avg(v), 4) v from (select yr, r, c, sum(v) v from v_stack where yr < 1998 group by 1, 2, 3) t where r between 2 and 6 and c between 3 and 12 group by 1, 2", "v_stack")
+def annual_mean_in_window(spark, sf_dir):
+    """Three yearly layers on one grid of quarter degrees, cut to bounds."""
+    stack = view(spark, sf_dir, "v_stack").where("yr < 1998")
+    layers = {str(y): (stack.where(F.col("yr") == y).groupBy("r", "c").agg(F.sum("v").alias("v")), Grid(80.0, 31.0, 0.25, 0.25, 10_000, 20)) for y in (1995, 1996, 1997)}
+    mean, _ = raster.annual_mean(layers, (80.75, 29.25, 83.25, 30.5))
+    return mean.select("r", "c", r("v", 4))
+
+
+_COVER_SQL = f"""cover as (select r + 148 r, c + 650 c, code from v_cover where code > 0),
+ circle as (select p.id, code from v_pts p join cover k on pow((k.r + 0.5e0 - (90 - lat) / 0.4e0) * (0.4e0 * 111320), 2) + pow((k.c + 0.5e0 - (lon + 180) / 0.4e0) * (0.4e0 * 111320 * cos(radians(lat))), 2) <= pow(60000e0, 2)),
+ counted as (select id, count(*) n, {", ".join(f"count(*) filter (code in ({', '.join(map(str, codes))})) {g}" for g, codes in C.COVER_GROUPS.items())} from circle group by id)"""
+
+
+def _cover_tiles(spark, sf_dir) -> dict[str, tuple[DataFrame, Grid]]:
+    return {"tile": (view(spark, sf_dir, "v_cover").select("r", "c", F.col("code").alias("v")), Grid(80.0, 30.8, 0.4, 0.4, 10_000, 20))}
+
+
+@query(f"with {_COVER_SQL} select p.id, " + ", ".join(f"round({g} / n::double, 6) {g}" for g in C.COVER_GROUPS) + " from v_pts p left join counted s on s.id = p.id", "v_cover", "v_pts")
+def cover_in_metric_circles(spark, sf_dir):
+    found = raster.cover_shares(_cover_tiles(spark, sf_dir), view(spark, sf_dir, "v_pts").select("id", "lon", "lat"), 60.0)
+    return found.select("id", *[r(g) for g in C.COVER_GROUPS])
+
+
 # --- Vectors ------------------------------------------------------------------------------------------------------
 
-def _utm_sql(inverse: bool) -> str:
-    n = C._N
-    k = C._K0 * C._RADIUS
-    f = lambda x: f"{x!r}e0" if "e" not in repr(x) else repr(x)
-    if not inverse:
-        parts = ["with a as (select id, radians(lat) phi, radians(lon - 87e0) lam from v_pts)", f"b as (select id, lam, sinh(atanh(sin(phi)) - {f(C._ECC)} * atanh({f(C._ECC)} * sin(phi))) t from a)", "c as (select id, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta from b)"]
-        east = " + ".join(["eta"] + [f"{f(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(C._ALPHA, 1)])
-        north = " + ".join(["xi"] + [f"{f(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(C._ALPHA, 1)])
-        return ", ".join(parts) + f" select id, round(500000e0 + {f(k)} * ({east}), 3) x, round({f(k)} * ({north}), 3) y from c"
-    xi1 = " ".join(["xi"] + [f"- {f(b)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(C._BETA, 1)])
-    eta1 = " ".join(["eta"] + [f"- {f(b)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(C._BETA, 1)])
-    phi = " + ".join(["chi"] + [f"{f(d)} * sin({2 * j} * chi)" for j, d in enumerate(C._DELTA, 1)])
-    assert n > 0
-    return f"with a as (select id, (2900000e0 + y) / {f(k)} xi, (x - 500000e0) / {f(k)} eta from v_pts), b as (select id, {xi1} xi1, {eta1} eta1 from a), c as (select *, asin(sin(xi1) / cosh(eta1)) chi from b) select id, round(87e0 + degrees(atan2(sinh(eta1), cos(xi1))), 8) lon, round(degrees({phi}), 8) lat from c"
-
-
-@query(_utm_sql(False), "v_pts")
+_FORWARD = f"""with {_SERIES}, a as (select id, radians(lat) phi, radians(lon - 87e0) lam, k.* from v_pts cross join k),
+ b as (select *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) t from a), c as (select *, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta from b)
+ select id, round(500000e0 + r * (eta + {_SUM('al[j] * cos(2 * j * xi) * sinh(2 * j * eta)')}), 3) x, round(r * (xi + {_SUM('al[j] * sin(2 * j * xi) * cosh(2 * j * eta)')}), 3) y from c"""
+_BACKWARD = f"""with {_SERIES}, a as (select id, (2900000e0 + y) / r xi, (x - 500000e0) / r eta, k.* from v_pts cross join k),
+ b as (select *, xi - {_SUM('be[j] * sin(2 * j * xi) * cosh(2 * j * eta)')} xi1, eta - {_SUM('be[j] * cos(2 * j * xi) * sinh(2 * j * eta)')} eta1 from a),
+ c as (select *, asin(sin(xi1) / cosh(eta1)) chi from b)
+ select id, round(87e0 + degrees(atan2(sinh(eta1), cos(xi1))), 8) lon, round(degrees(chi + {_SUM('de[j] * sin(2 * j * chi)')}), 8) lat from c"""
+
+
+@query(_FORWARD, "v_pts")
 def utm_forward(spark, sf_dir):
     x, y = C.utm_forward(F.col("lon"), F.col("lat"))
     return view(spark, sf_dir, "v_pts").select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(_utm_sql(True), "v_pts")
+@query(_BACKWARD, "v_pts")
 def utm_inverse(spark, sf_dir):
     lon, lat = C.utm_inverse(F.col("x"), F.col("y") + 2900000.0)
     return view(spark, sf_dir, "v_pts").select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
@@ -157,15 +217,25 @@ def occupied_cell_exclusion(spark, sf_dir):
     return vector.unoccupied(cells, events, 0.0, 0.0, 2000.0).select("id", "r", "c")
 
 
-@query("select way_id, kind, round(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), 6) length from v_seg where kind in ('primary', 'residential')", "v_seg")
+_HALVES = "select way_id, kind, x0, y0, (x0 + x1) / 2 x1, (y0 + y1) / 2 y1 from v_seg union all select way_id, kind, (x0 + x1) / 2, (y0 + y1) / 2, x1, y1 from v_seg"
+
+
+def _ways(spark, sf_dir) -> DataFrame:
+    """Lines as an extract has them: tags, and three nodes each."""
+    tag = F.when(F.col("kind") == "river", "waterway").otherwise("highway")
+    node = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    nodes = F.array(node("x0", "y0"), node("(x0 + x1) / 2", "(y0 + y1) / 2"), node("x1", "y1"))
+    return view(spark, sf_dir, "v_seg").select("way_id", F.create_map(tag, F.col("kind"), F.lit("name"), F.lit("line")).alias("tags"), nodes.alias("nodes"))
+
+
+@query(f"select * from ({_HALVES}) t where kind in ('primary', 'residential')", "v_seg")
 def road_extract(spark, sf_dir):
-    roads = view(spark, sf_dir, "v_seg").where(F.col("kind").isin(*C.MOTOR_CLASSES))
-    return roads.select("way_id", "kind", F.round(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 6).alias("length"))
+    return files.segments_of(files.ways_of(_ways(spark, sf_dir), "highway", C.MOTOR_CLASSES))
 
 
-@query("select way_id, x0, y0, x1, y1 from v_seg where kind = 'river'", "v_seg")
+@query(f"select * from ({_HALVES}) t where kind = 'river'", "v_seg")
 def river_extract(spark, sf_dir):
-    return view(spark, sf_dir, "v_seg").where(F.col("kind").isin(*C.RIVER_CLASSES)).select("way_id", "x0", "y0", "x1", "y1")
+    return files.segments_of(files.ways_of(_ways(spark, sf_dir), "waterway", C.RIVER_CLASSES))
 
 
 @query("select cast(floor((min(x) - 1000) / 30) * 30 as double) xmin, cast(floor((min(y) - 1000) / 30) * 30 as double) ymin, cast(ceil((max(x) + 1000) / 30) * 30 as double) xmax, cast(ceil((max(y) + 1000) / 30) * 30 as double) ymax from v_pts", "v_pts")
@@ -316,10 +386,19 @@ def catalogue_clean(spark, sf_dir):
     return _cleaned(spark, sf_dir).select("event_id", F.unix_millis("event_time").alias("event_ms"), "accuracy_km")
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events")
+@query(
+    """select c_custkey::varchar event_id, (1000 * (800000000 + c_custkey))::varchar event_date, (c_custkey % 90)::double longitude, (c_custkey % 45)::double latitude, '5km' location_accuracy,
+ 'Nepal' country_name, case when c_custkey % 3 = 0 then 'import' end event_import_source, c_name source_name, null::varchar source_link from customer where c_custkey % 5 not in (1, 2, 3) and c_custkey % 7 <> 0"""
+)
 def json_adapter(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Features of a service, some without places, with one coordinate or without properties, two hundred a page."""
+    feature = """concat('{', case c_custkey % 5 when 1 then '"geometry":{"coordinates":[]}' when 2 then '"geometry":{"coordinates":[1]}' when 3 then '"geometry":null'
+ else concat('"geometry":{"type":"Point","coordinates":[', c_custkey % 90, ',', c_custkey % 45, ']}') end,
+ ',"properties":{"event_id":', c_custkey, ',"event_date":', 1000 * (800000000 + c_custkey), ',"location_accuracy":"5km",', case when c_custkey % 3 = 0 then '"event_import_source":"import",' else '' end, '"source_name":"', c_name, '"}}')"""
+    page = F.concat(F.lit('{"features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}"))
+    customers = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    pages = customers.select(F.floor(F.col("c_custkey") / 200).alias("page"), F.expr(feature).alias("feature")).groupBy("page").agg(page.alias("payload"))
+    return files.feature_rows(pages, "Nepal")
 
 
 @query("select o_custkey, event_id, country_name, location_accuracy from (select *, row_number() over (partition by o_custkey order by event_id) rn from v_catalogue) t where rn = 1", "v_catalogue")
@@ -328,9 +407,17 @@ def dedupe_keep_first(spark, sf_dir):
     return catalogue.keep_first(rows, ["o_custkey"], ["event_id"])
 
 
-@query(f"select count(*) before, count(*) filter (ts is not null and accuracy_km is not null) after, count(*) filter (ts is null or accuracy_km is null) dropped from {_CLEAN}", "v_catalogue")
+@query(f"select count(*) before, count(*) filter (ts is not null and accuracy_km is not null and event_id % 11 <> 0) after, count(*) filter (ts is null or accuracy_km is null or event_id % 11 = 0) dropped from {_CLEAN}", "v_catalogue")
 def dropna_accounting(spark, sf_dir):
-    return catalogue.row_account(_cleaned(spark, sf_dir), ["event_time", "accuracy_km"])
+    """Some accuracies are not a number, which counts as missing."""
+    rows = _cleaned(spark, sf_dir).withColumn("accuracy_km", F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("accuracy_km")))
+    return catalogue.row_account(rows, ["event_time", "accuracy_km"])
+
+
+@query(f"select event_id, accuracy_km from {_CLEAN} where ts is not null and accuracy_km is not null and event_id % 11 <> 0", "v_catalogue")
+def dropna_rows(spark, sf_dir):
+    rows = _cleaned(spark, sf_dir).withColumn("accuracy_km", F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("accuracy_km")))
+    return catalogue.complete(rows, ["event_time", "accuracy_km"]).select("event_id", "accuracy_km")
 
 
 @query("select id, label, abs_set, accuracy_km from v_pts where (label = 1 and accuracy_km <= 5) or abs_set = 'uniform'", "v_pts")
@@ -348,11 +435,27 @@ def conditional_counts(spark, sf_dir):
     return view(spark, sf_dir, "v_pts").groupBy("abs_set").agg(F.sum("label").alias("n_pres"), F.sum(1 - F.col("label")).alias("n_abs"))
 
 
-@query("with y as (select distinct yr from v_stack), e as (select unnest(range((select min(yr) from y), (select max(yr) + 1 from y))) yr) select cast(count(*) as bigint) expected, cast(count(y.yr) as bigint) found, count(*) = count(y.yr) complete from e left join y on y.yr = e.yr", "v_stack")
+@query("select yr, count(*) n from v_stack where yr between 1995 and 2001 group by 1", "v_stack")
 def year_completeness(spark, sf_dir):
-    found = view(spark, sf_dir, "v_stack").agg(F.collect_set("yr").alias("years"))  # a set of years
-    wanted = F.sequence(F.array_min("years"), F.array_max("years"))
-    return found.select(F.size(wanted).cast("bigint").alias("expected"), F.size("years").cast("bigint").alias("found"), (F.size(F.array_except(wanted, F.col("years"))) == 0).alias("complete"))
+    """Counts by year, once the years have passed the gate that wants each from 1995 to 2001."""
+    stack = view(spark, sf_dir, "v_stack")
+    files.require_years([r["yr"] for r in stack.select("yr").distinct().collect()], 1995, 2001)
+    return stack.groupBy("yr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select * from (values ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) t(name)")
+def file_listing(spark, sf_dir):
+    found = [p.rsplit("/", 1)[1].removesuffix(".parquet") for p in files.list_files(spark, f"{sf_dir}/*.parquet")]
+    files.require_count(found, 14, "tables")
+    return spark.createDataFrame([(n,) for n in found], "name string")
+
+
+@query("select n_nationkey::bigint id, n_name name, n_regionkey / 4e0 v from nation")
+def csv_tables(spark, sf_dir):
+    """A table through CSV and back, in the shared folder."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_table(table(spark, sf_dir, "nation").selectExpr("n_nationkey id", "n_name name", "n_regionkey / 4e0 v"), path)
+    return files.read_table(spark, path, "id bigint, name string, v double")
 
 
 # --- Experiments --------------------------------------------------------------------------------------------------
@@ -422,7 +525,86 @@ def counts_by_set(spark, sf_dir):
     return points.unionByName(points.select(F.lit("all").alias("abs_set"))).groupBy("abs_set").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- Models (no SQL) ----------------------------------------------------------------------------------------------
+# --- Feature table and study --------------------------------------------------------------------------------------
+
+_NEAREST = lambda kinds, name: f"""{name} as (select id, min(sqrt(power(px - (x0 + t * (x1 - x0)), 2) + power(py - (y0 + t * (y1 - y0)), 2))) / 1000 km from (
+ select p.id, p.x px, p.y py, s.*, case when (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) > 0 then greatest(0e0, least(1e0, ((p.x-x0)*(x1-x0)+(p.y-y0)*(y1-y0)) / ((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)))) else 0e0 end t from v_pts p cross join v_seg s where kind in ({kinds})) group by id)"""
+
+
+@query(
+    f"""with {_COVER_SQL}, {_NEAREST("'primary', 'residential'", 'road')}, {_NEAREST("'river'", 'river')},
+ p as (select *, cast(trunc((200000 - y) / 2000) as bigint) rr, cast(trunc(x / 20000) as bigint) cc from v_pts),
+ m as (select id, v_dem.r - rr dr, v_dem.c - cc dc, v from p join v_dem on abs(v_dem.r - rr) <= 2 and abs(v_dem.c - cc) <= 2),
+ kk as (select id, max(v) filter (dr = 0 and dc = 0) z, max(v) filter (dr = 0 and dc = 1) e, max(v) filter (dr = 0 and dc = -1) w, max(v) filter (dr = -1 and dc = 0) n, max(v) filter (dr = 1 and dc = 0) s from m group by id having count(v) = 25),
+ g as (select *, (e - w) / 40000e0 ge, (n - s) / 40000e0 gn from kk), a as (select *, case when sqrt(ge * ge + gn * gn) >= 1e-9 then atan2(-ge, -gn) end a from g),
+ rain as (select r, c, avg(v) v from (select yr, r, c, sum(v) v from v_stack group by 1, 2, 3) t group by 1, 2),
+ inn as (select id, inside from {_INSIDE}),
+ f as (select p.id, label, abs_set, rr, cc, round(z, 6) elevation, round(degrees(atan(sqrt(ge * ge + gn * gn))), 6) slope, round(coalesce(sin(a), 0), 6) aspect_sin, round(coalesce(cos(a), 0), 6) aspect_cos, round((w + e + a.n + s - 4 * z) / 4e8, 12) curvature,
+  round(road.km, 6) road_dist_km, round(river.km, 6) river_dist_km, round(rain.v, 4) rain_mm, {", ".join(f"round(counted.{c} / counted.n::double, 6) {c}" for c in C.COVER_GROUPS)}, inside
+  from p join a using (id) join road using (id) join river using (id) join inn using (id) join counted using (id)
+  join rain on rain.r = cast(floor((31 - lat) / 0.5) as bigint) and rain.c = cast(floor((lon - 80) / 0.45) as bigint) where rain.v is not null)
+ select * exclude (rr, cc) from (select *, row_number() over (partition by abs_set, rr, cc order by id) k from f) t where k = 1""".replace(" select * exclude (rr, cc) from", " select * exclude (rr, cc, k) from"),
+    "v_dem", "v_pts", "v_seg", "v_cover", "v_stack", "v_ring",
+)
+def feature_table(spark, sf_dir):
+    """Terrain, distances, rainfall, cover and the boundary at every place, rows without all of them dropped, the first of each cell."""
+    lines = view(spark, sf_dir, "v_seg")
+    rain = raster.stack_mean(view(spark, sf_dir, "v_stack").groupBy("yr", "r", "c").agg(F.sum("v").alias("v"))).select("r", "c", F.col("mean").alias("v"))
+    given = features.Inputs(
+        events=None, boundary=view(spark, sf_dir, "v_ring"), roads=lines.where(F.col("kind").isin(*C.MOTOR_CLASSES)), rivers=lines.where(F.col("kind").isin(*C.RIVER_CLASSES)),
+        dem=view(spark, sf_dir, "v_dem"), grid=Grid(0.0, 200000.0, 20000.0, 2000.0, 1 << 30, 20), rain=(rain, Grid(80.0, 31.0, 0.45, 0.5, 1 << 30, 20)), cover=_cover_tiles(spark, sf_dir),
+    )
+    points = view(spark, sf_dir, "v_pts").selectExpr("id", "label", "abs_set", "0 draw", "id event_id", "timestamp'2000-01-01' event_date", "accuracy_km", "lon longitude", "lat latitude", "x", "y")
+    found = features.described(points, given, 60.0)
+    digits = {"curvature": 12, "rain_mm": 4}
+    values = [c for c in features.COLUMNS if c not in ("label", "abs_set", "event_id", "event_date", "accuracy_km", "longitude", "latitude", "x", "y", "inside")]
+    return found.select("id", "label", "abs_set", *[r(c, digits.get(c, 6)) for c in values], "inside")
+
+
+_STUDY = f"""st as (select * from (values ('uniform', 0), ('uniform', 10), ('road_weighted', 0), ('road_weighted', 10)) a(s, b) cross join (values (0), (1)) t(seed)),
+ p as (select s, id, label, x, y, f1 from v_pts cross join (values ('uniform'), ('road_weighted')) t(s) where (label = 1 and accuracy_km <= 5) or abs_set = s),
+ bl as (select distinct s, seed, cast(floor(x / 50000e0) as bigint) ix, cast(floor(y / 50000e0) as bigint) iy from p cross join (values (0), (1)) t(seed)),
+ fo as (select s, seed, ix, iy, (row_number() over (partition by s, seed order by {_U("cast(seed as varchar)", "concat(ix, ':', iy)")}, ix, iy) - 1) % 5 f from bl),
+ q as (select p.*, seed, f from p join fo on fo.s = p.s and ix = floor(x / 50000e0) and iy = floor(y / 50000e0)),
+ rn as (select p.*, seed, (row_number() over (partition by s, seed, label order by {_U("cast(seed as varchar)", "id")}, id) - 1) % 5 f from p cross join (values (0), (1)) t(seed)),
+ tf as (select unnest(range(5)) tf),
+ tr as (select 'spatial' kind, q.s, b, q.seed, tf, label, f1 from q join st on st.s = q.s and st.seed = q.seed cross join tf where f <> tf and (b = 0 or not exists (select 1 from q o where o.s = q.s and o.seed = q.seed and o.f = tf and sqrt((o.x - q.x) * (o.x - q.x) + (o.y - q.y) * (o.y - q.y)) <= b * 1000e0))
+  union all select 'random', s, 0, seed, tf, label, f1 from rn cross join tf where f <> tf),
+ te as (select 'spatial' kind, q.s, b, q.seed, f tf, label, f1 from q join st on st.s = q.s and st.seed = q.seed union all select 'random', s, 0, seed, f, label, f1 from rn),
+ sg as (select kind, s, b, seed, tf, case when avg(f1) filter (label = 1) > avg(f1) filter (label = 0) then 1 else -1 end g from tr group by all having min(label) <> max(label)),
+ z as (select te.*, g * f1 sc from te join sg using (kind, s, b, seed, tf)),
+ k as (select *, rank() over (partition by kind, s, b, seed, tf order by sc) + (count(*) over (partition by kind, s, b, seed, tf, sc) - 1) / 2e0 rk from z),
+ au as (select kind, s, b, seed, tf, (sum(rk) filter (label = 1) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * sum(1 - label)) a from k group by all having min(label) <> max(label)),
+ t as (select kind, s, b, seed, tf, sc, sum(label) tp, count(*) n from z group by all),
+ u as (select *, sum(tp) over (partition by kind, s, b, seed, tf order by sc desc) ctp, sum(n) over (partition by kind, s, b, seed, tf order by sc desc) cn from t),
+ ap as (select kind, s, b, seed, tf, sum(tp * ctp / cn::double) / sum(tp) ap from u group by all),
+ m as (select kind, s, b, seed, avg(a) a, avg(ap) ap, count(*) n from au join ap using (kind, s, b, seed, tf) group by all),
+ x as (select sp.s, sp.b, sp.seed, ra.a ra, sp.a sa, ra.ap rp, sp.ap pp, sp.n from m sp join m ra on ra.kind = 'random' and sp.kind = 'spatial' and ra.s = sp.s and ra.seed = sp.seed),
+ c as (select s, sum(label)::int n_pres, sum(1 - label)::int n_abs from p group by s)"""
+
+
+@query(
+    f"""with {_STUDY} select x.s abs_set, 'f1 (logistic)' model, 5e0 cutoff_km, 50 block_km, b buffer_km, max(n_pres) n_pres, max(n_abs) n_abs, round(avg(ra), 6) random_auroc, round(avg(sa), 6) spatial_auroc, round(avg(ra - sa), 6) gap, round(avg(rp), 6) random_prauc, round(avg(pp), 6) spatial_prauc,
+ round(stddev_pop(sa), 6) spatial_auroc_sd_over_seeds, avg(n) spatial_folds_scored from x join c on c.s = x.s group by x.s, b""",
+    "v_pts",
+)
+def baseline_study(spark, sf_dir):
+    """The runner over two schemes, two buffers and two seeds, with one model whose ranking SQL can tell: that of its only feature, turned
+    around where the training rows say so."""
+    settings = {"abs_set": ("uniform", "road_weighted"), "cutoff_km": (5.0,), "block_km": (50,), "buffer_km": (0, 10)}
+    found = experiment.baselines(view(spark, sf_dir, "v_pts"), {"f1 (logistic)": (["f1"], Learner("logistic"))}, settings, (0, 1))
+    exact = ("abs_set", "model", "cutoff_km", "block_km", "buffer_km", "n_pres", "n_abs", "spatial_folds_scored")
+    return found.select(*[c if c in exact else r(c) for c in found.columns])
+
+
+@query(
+    "select * from (values ('Slope only (logistic)', 'logistic', 1), ('Elevation only (logistic)', 'logistic', 1), ('Logistic regression', 'logistic', 5), ('Random forest', 'forest', 5), ('Random forest + road distance (ablation)', 'forest', 6), ('Road distance only (logistic)', 'logistic', 1), ('Random forest + river distance', 'forest', 6), ('River distance only (logistic)', 'logistic', 1), ('Random forest + road + river distance', 'forest', 7), ('Random forest + rainfall', 'forest', 6), ('Random forest + land cover', 'forest', 13), ('Random forest + rainfall + land cover', 'forest', 14), ('Rainfall only (logistic)', 'logistic', 1), ('Land cover only (forest)', 'forest', 8), ('Gradient boosting', 'boosting', 5), ('Gradient boosting + land cover', 'boosting', 13), ('Gradient boosting + rainfall + land cover', 'boosting', 14)) t(model, kind, n_features)"
+)
+def model_registry(spark, sf_dir):
+    return spark.createDataFrame([(name, learner.kind, len(columns)) for name, (columns, learner) in experiment.MODELS.items()], "model string, kind string, n_features int")
+
+
+# --- Models -------------------------------------------------------------------------------------------------------
 
 _FEATURES = ["f1", "x", "y"]
 
@@ -432,6 +614,43 @@ def _fold_roles(spark, sf_dir) -> DataFrame:
     return models.roles(points, folds.buffered_training(points, 5, 10000.0))
 
 
+_NEAR = "n as (select * from v_pts where label = 0 or accuracy_km <= 5)"
+_ROLES = f"""{_NEAR}, b as (select distinct cast(floor(x / 50000e0) as bigint) ix, cast(floor(y / 50000e0) as bigint) iy from n),
+ o as (select ix, iy, (row_number() over (order by {_U(repr('0'), "concat(ix, ':', iy)")}, ix, iy) - 1) % 5 f from b),
+ q as (select n.*, f from n join o on ix = floor(x / 50000e0) and iy = floor(y / 50000e0)), tf as (select unnest(range(5)) tf),
+ tr as (select tf, q.* from q cross join tf where f <> tf and not exists (select 1 from q o where o.f = tf and sqrt((o.x - q.x) * (o.x - q.x) + (o.y - q.y) * (o.y - q.y)) <= 10000e0)),
+ ok as (select tf from tr group by tf having min(label) <> max(label) intersect select f from q group by f having min(label) <> max(label))"""
+
+
+@query(f"with {_ROLES} select learner, f::int test_fold, id, label y from q join ok on tf = f cross join (values ('logistic'), ('forest'), ('boosting')) t(learner)", "v_pts")
+def model_rows(spark, sf_dir):
+    """Which rows each learner scores, and in which fold."""
+    given = _fold_roles(spark, sf_dir)
+    found = None
+    for learner in (Learner("logistic"), Learner("forest", trees=8), Learner("boosting")):
+        one = models.fold_predictions(given, _FEATURES, learner).select(F.lit(learner.kind).alias("learner"), "test_fold", "id", "y")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _newton(steps: int) -> str:
+    """Newton steps of the class-balanced logistic regression on one scaled feature, unrolled."""
+    parts = [
+        "sc as (select tr.tf, avg(f1) m, stddev_pop(f1) sd, count(*) n, sum(label) n1 from tr join ok using (tf) group by tr.tf)",
+        "d as (select tf, (f1 - m) / sd v, label y, case when label = 1 then n / (2e0 * n1) else n / (2e0 * (n - n1)) end c from tr join sc using (tf))",
+        "w0 as (select tf, 0e0 w, 0e0 a from sc)",
+    ]
+    for i in range(steps):
+        parts.append(f"s{i} as (select tf, w, a, sum(c * (p - y) * v) + w gw, sum(c * (p - y)) + 1e-9 * a ga, sum(c * p * (1 - p) * v * v) + 1 hw, sum(c * p * (1 - p) * v) hx, sum(c * p * (1 - p)) + 1e-9 ha from (select d.*, w, a, 1 / (1 + exp(-(w * v + a))) p from d join w{i} using (tf)) t group by tf, w, a)")
+        parts.append(f"w{i + 1} as (select tf, w - (ha * gw - hx * ga) / (hw * ha - hx * hx) w, a - (hw * ga - hx * gw) / (hw * ha - hx * hx) a from s{i})")
+    return ",\n ".join(parts)
+
+
+@query(f"with {_ROLES}, {_newton(9)} select f::int test_fold, id, label y, round(1 / (1 + exp(-(w * (f1 - m) / sd + a))), 6) score from q join sc on sc.tf = f join w9 on w9.tf = f", "v_pts")
+def logistic_one_feature(spark, sf_dir):
+    return models.fold_predictions(_fold_roles(spark, sf_dir), ["f1"], "logistic").select("test_fold", "id", "y", r("score"))
+
+
 @query()
 def logistic_scores(spark, sf_dir):
     return models.fold_predictions(_fold_roles(spark, sf_dir), _FEATURES, "logistic")
