@@ -318,6 +318,24 @@ def test_pipeline_against_brute_force(spark, documents):
     assert packing.Bins().tokens == 2048
 
 
+def test_pipeline_tells_rows_of_one_id_or_none_apart(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(900)]
+    prose = lambda: "\n".join(" ".join(rng.choice(words, 12)) for _ in range(12))
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = e.replace(e.split()[40], "changed", 1).replace("\n", " ")  # on one line, so that chunks do not meet
+    rows = [(5, a), (5, b), (None, c), (None, d), (None, a), (9, b), (None, None), (8, ""), (3, e.replace("\n", " ")), (4, near), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id string").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "id"]
+    kept = [r["text"] for r in docs.collect()]
+    assert sorted(kept) in (sorted([a, b, c, d, e.replace("\n", " ")]), sorted([a, b, c, d, near]))
+    assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.where("piece = 0").count() == 5
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_secret_scan"])
 def test_scans_equal_their_sql(spark, name):
     con = duckdb.connect()

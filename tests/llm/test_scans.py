@@ -448,6 +448,42 @@ def test_bands_reject_repetition_and_noise(documents, empty):
     assert quality.keep_good(documents).columns == documents.columns
 
 
+def test_verdicts_against_plain_ratios(spark):
+    """Ratios by the library's one-shot function and limits by a plain walk over the bands, for texts at and around their edges."""
+    import random
+
+    rng, limits = random.Random(3), quality.Limits()
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for size in (100, 199, 200, 201, 999, 1000, 4096, 4097, 9000, 17_000, 70_000):
+        for pool in (words, words[:6], words[:60], ["".join(rng.choices(words[0] + "0123456789+/ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=12)) for _ in range(size // 12 + 1)]):
+            texts.append(" ".join(rng.choice(pool) for _ in range(size))[:size])
+    limit = lambda bands, n: [b for b in bands if b.from_bytes <= n][-1]
+    size_of = lambda data: len(zstandard.compress(data, limits.level))
+
+    def verdict(text):
+        data = text.encode()
+        ratio, whole = len(data) / size_of(data), limit(limits.bands, len(data))
+        bad = 0
+        for i in range(0, len(data), 4096) if len(data) > 4096 else ():
+            piece = data[i : i + 4096]
+            band = limit(limits.chunk_bands, len(piece))
+            bad += len(piece) * (not band.least <= len(piece) / size_of(piece) <= band.most)
+        return ratio, bad / len(data), whole.least <= ratio <= whole.most and bad / len(data) <= 0.5
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in quality.measure_documents(docs).collect()}
+    for i, text in enumerate(texts):
+        ratio, share, fits = verdict(text)
+        n, _, _, _, repeats = brute_quality(text)
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert rows[i]["ratio"] == pytest.approx(ratio, rel=0.02) and rows[i]["bad_chunk_share"] == pytest.approx(share, abs=0.01)
+        assert (rows[i]["base_failed"], rows[i]["kept"]) == (failed, fits and not failed)
+    assert 5 < sum(r["kept"] for r in rows.values()) < len(texts) - 5
+    kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, r in rows.items() if r["kept"]}
+
+
 def test_random_ascii_is_noise_in_every_band():
     import base64
     import random
