@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -245,6 +246,38 @@ def padded_bounds(spark, sf_dir):
     return view(spark, sf_dir, "v_pts").agg(low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"))
 
 
+@query("select floor((50000e0 - 1000) / 30) * 30 x0, ceil((180000e0 + 1000) / 30) * 30 y0, cast((ceil((180000e0 + 1000) / 30) - floor((20000e0 - 1000) / 30)) as bigint) height, cast((ceil((350000e0 + 1000) / 30) - floor((50000e0 - 1000) / 30)) as bigint) width, cast(ceil((ceil((180000e0 + 1000) / 30) - floor((20000e0 - 1000) / 30)) / 10) as bigint) coarse_height, cast(ceil((ceil((350000e0 + 1000) / 30) - floor((50000e0 - 1000) / 30)) / 10) as bigint) coarse_width")
+def boundary_grid(spark, sf_dir):
+    """The grid around the boundary, with its margin, and the shape of the coarser one over it."""
+    grid = features.boundary_grid(view(spark, sf_dir, "v_ring"))
+    coarse = raster.coarser(grid, 300.0)
+    return spark.createDataFrame([(grid.x0, grid.y0, grid.height, grid.width, coarse.height, coarse.width)], "x0 double, y0 double, height bigint, width bigint, coarse_height bigint, coarse_width bigint")
+
+
+@query(
+    "with b as (select p_partkey name, (p_partkey * 7919 % 400) * 1000e0 + 370 l, (p_partkey * 104729 % 200) * 1000e0 + 410 b from part), c as (select name, l, b, l + 9000 r, b + 7000 t from b),"
+    " g as (select name, l + (r - l) * i / 60 x, b + (t - b) * j / 60 y from c cross join (select unnest(range(61)) i) u cross join (select unnest(range(61)) j) v where i in (0, 60) or j in (0, 60)),"
+    " h as (select name, x, y, count(e.i) % 2 = 1 inside from g left join v_ring e on (e.y0 > y) <> (e.y1 > y) and x < (e.x1 - e.x0) * (y - e.y0) / (e.y1 - e.y0) + e.x0 group by name, x, y),"
+    " k as (select name from h where inside union select name from c join v_ring e on e.x0 between l and r and e.y0 between b and t) select distinct name from k",
+    "v_ring",
+)
+def boxes_at_boundary(spark, sf_dir):
+    """Boxes that meet the polygon. The SQL looks for a place of their rims inside it, or a corner of it inside them."""
+    boxes = table(spark, sf_dir, "part").selectExpr("p_partkey name", "(p_partkey * 7919 % 400) * 1000e0 + 370 l", "(p_partkey * 104729 % 200) * 1000e0 + 410 b").selectExpr("name", "l", "b", "l + 9000 r", "b + 7000 t")
+    return vector.boxes_meeting(boxes, view(spark, sf_dir, "v_ring")).select("name")
+
+
+@query(f"with {_SERIES}, s as (select i, 80 + x0 / 50000 lon, 26 + y0 / 50000 lat from v_ring), a as (select i, radians(lat) phi, radians(lon - 87e0) lam, k.* from s cross join k), b as (select *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) t from a), c as (select *, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta from b) select i, round(500000e0 + r * (eta + {_SUM('al[j] * cos(2 * j * xi) * sinh(2 * j * eta)')}), 3) x, round(r * (xi + {_SUM('al[j] * sin(2 * j * xi) * cosh(2 * j * eta)')}), 3) y from c", "v_ring")
+def projected_boundary(spark, sf_dir):
+    """The boundary through a GeoJSON file in the shared folder, in degrees there, projected when read."""
+    points = [[80 + x / 50000, 26 + y / 50000] for x, y in ((50000, 20000), (350000, 20000), (350000, 180000), (200000, 90000), (50000, 180000), (50000, 20000))]
+    path = f"{shared_folder(spark)}/boundary-{uuid.uuid4().hex}"
+    document = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [points]}}]})
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    edges = files.projected(files.ring_edges(spark, path))
+    return edges.select((F.col("i") - 1).cast("int").alias("i"), F.round("x0", 3).alias("x"), F.round("y0", 3).alias("y"))
+
+
 # --- Sampling -----------------------------------------------------------------------------------------------------
 
 @query(
@@ -324,6 +357,17 @@ def balanced_class_weights(spark, sf_dir):
     return folds.balanced_weights(folds.spatial_folds(view(spark, sf_dir, "v_pts"), 50000.0), ["fold"]).select("fold", "label", "n", r("weight"))
 
 
+@query(f"with {_FOLD}, f as (select cast(unnest(range(5)) as integer) test_fold), s as (select distinct test_fold, floor(x / 50000e0) bx, floor(y / 50000e0) bz, fold = test_fold held from q cross join f) select test_fold, cast(0 as bigint) shared, count(*) filter (held) held from s group by 1", "v_pts")
+def blocks_kept_whole(spark, sf_dir):
+    """Blocks of each test fold, and how many of them are among its training rows' blocks as well: none."""
+    points = folds.spatial_folds(view(spark, sf_dir, "v_pts"), 50000.0)
+    block = [F.floor(F.col(c) / 50000.0).alias(f"b{c}") for c in "xy"]
+    test = points.select(F.col("fold").alias("test_fold"), *block)
+    both = test.intersect(folds.buffered_training(points, 5, 0.0).select("test_fold", *block))
+    shared = both.groupBy("test_fold").agg(F.count(F.lit(1)).alias("shared"))
+    return test.distinct().groupBy("test_fold").agg(F.count(F.lit(1)).alias("held")).join(shared, "test_fold", "left").select("test_fold", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"), "held")
+
+
 # --- Metrics ------------------------------------------------------------------------------------------------------
 
 _RANK = "k as (select *, rank() over (partition by sfold order by score) + (count(*) over (partition by sfold, score) - 1) / 2e0 rk from v_scored)"
@@ -450,6 +494,16 @@ def file_listing(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in found], "name string")
 
 
+@query("select r_name region, cast(count(*) as bigint) nations, cast(min(n_nationkey) as bigint) first from nation join region on n_regionkey = r_regionkey group by 1")
+def json_documents(spark, sf_dir):
+    """A summary as one JSON document in the shared folder, read back."""
+    found = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"), F.min("n_nationkey").cast("bigint").alias("first"))
+    path = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
+    files.write_document(found.agg(F.collect_list(F.struct(F.col("r_name").alias("region"), "nations", "first")).alias("regions")), path)  # five rows
+    read = spark.read.json(path, schema="regions array<struct<region:string,nations:bigint,first:bigint>>")
+    return read.select(F.explode("regions").alias("x")).select("x.*")
+
+
 @query("select n_nationkey::bigint id, n_name name, n_regionkey / 4e0 v from nation")
 def csv_tables(spark, sf_dir):
     """A table through CSV and back, in the shared folder."""

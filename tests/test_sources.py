@@ -322,3 +322,56 @@ def test_tables_in_and_out(spark, tmp_path):
     assert (tmp_path / "one.csv").read_text().startswith("id,name,v\n")
     assert [p.rsplit("/", 1)[1] for p in files.list_files(spark, f"{tmp_path}/*")] == ["folder", "one.csv"]
     assert files.list_files(spark, f"{tmp_path}/none-*") == []
+
+
+# --- the web service
+
+
+@pytest.fixture
+def service():
+    """A service of 5 features, by pages; an error for one question."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    features = [{"geometry": {"coordinates": [84.0 + i, 28.0]}, "properties": {"event_id": i, "event_date": 1704067200000, "location_accuracy": "5km"}} for i in range(5)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            if asked.get("where") == "bad":
+                reply = {"error": {"code": 400}}
+            elif "returnCountOnly" in asked:
+                reply = {"count": len(features)}
+            else:
+                start = int(asked["resultOffset"])
+                reply = {"features": features[start : start + int(asked["resultRecordCount"])]}
+            body = json.dumps(reply).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/query"
+    server.shutdown()
+
+
+def test_pages_of_a_service(spark, service, tmp_path, capsys):
+    from foldstone import study
+
+    spark.dataSource.register(files.PagedFeatures)
+    pages = spark.read.format("paged_features").options(endpoint=service, size="2", where="1=1").load()
+    assert sorted(r["offset"] for r in pages.collect()) == [0, 2, 4]
+    assert sorted(r["event_id"] for r in files.feature_rows(pages, "Nepal").collect()) == ["0", "1", "2", "3", "4"]
+    with pytest.raises(RuntimeError, match="400"):
+        files.request(service, {"where": "bad"})
+    study.main(["download", "--raw", str(tmp_path), "--endpoint", service], spark)
+    assert len((tmp_path / "events.csv").read_text().splitlines()) == 6
+    cleaned = files.read_catalogue(spark, str(tmp_path / "events.csv"))
+    assert cleaned.where("country_name = 'Nepal' and longitude >= 84").count() == 5
