@@ -27,6 +27,10 @@ from foldstone.llm.text import mix, per_slice, slices
 from foldstone.session import materialize, ship
 
 
+#: Bytes of text handled at once: arrays of their n-grams stay in a core's cache.
+SLICE = 500_000
+
+
 @dataclass(frozen=True)
 class Settings:
     orders: tuple[int, ...] = (4, 5)
@@ -74,8 +78,12 @@ def gram_places(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.nd
 
 
 def _present(owner: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each (text, bucket) once."""
-    keys = np.unique((owner.astype(np.int64) << bits) | bucket)
+    """Each (text, bucket) once, in order."""
+    keys = (owner.astype(np.int64) << bits) | bucket
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
     return keys >> bits, (keys & ((1 << bits) - 1)).astype(np.int32)
 
 
@@ -89,7 +97,7 @@ def class_counts(train: DataFrame, settings: Settings) -> tuple[np.ndarray, np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << settings.bits), np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 label = np.asarray(part.column("label").to_pylist(), np.int64)
                 owner, bucket = _present(*gram_places(_texts(part), settings), settings.bits)
                 for y in (0, 1):
@@ -159,7 +167,7 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
 
     def held_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 owner, bucket = gram_places(_texts(part), settings)
                 at = place[bucket]
                 owner, at = _present(owner[at >= 0], at[at >= 0], settings.bits)
@@ -206,7 +214,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(held_out(docs["doc_id"]), F.lit(False)).alias("held_out"), "text")
-    return per_slice(source, handle, "doc_id long, held_out boolean, score double, predicted int")
+    return per_slice(source, handle, "doc_id long, held_out boolean, score double, predicted int", SLICE)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
