@@ -52,8 +52,8 @@ def _nearest(points: DataFrame, targets: DataFrame, distance: Column, keys: list
         found = counted.groupBy(*keys, cell("cx", level).alias("cx"), cell("cy", level).alias("cy")).agg(F.sum("n").alias("n"))
         return found.withColumns({"ux": cell("cx", 1), "uy": cell("cy", 1)}) if up else found
 
-    top = at(levels).withColumn("one", F.lit(1))
-    met = own.withColumn("one", F.lit(1)).join(top, ["one", *keys]).drop("one")  # at most four cells a key
+    top = at(levels)  # at most four cells a key
+    met = own.join(top, keys) if keys else own.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one").drop("one")
     for level in range(levels, -1, -1):
         width = size * 4**level
         gap = lambda v, c: F.greatest(F.lit(0.0), F.col(c) * width - F.col(v), F.col(v) - (F.col(c) + 1) * width)
