@@ -69,8 +69,11 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np
             more = sizes[short] > i
             own[more] = mix(own[more] ^ flat[begin[short[more]] + i])
         keys, owners = np.concatenate([keys, own]), np.concatenate([owners, short])
-    order = np.lexsort((keys, owners))
-    keys, owners = keys[order], owners[order]
+        order = np.argsort(owners, kind="stable")
+        keys, owners = keys[order], owners[order]
+    ends = np.searchsorted(owners, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(ends, ends[1:]):
+        keys[a:b].sort()  # text by text, in place
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
     keys, owners = keys[new], owners[new]
