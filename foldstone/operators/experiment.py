@@ -158,7 +158,7 @@ def leakage(table: DataFrame, sets_of: dict[str, list[str]] = LEAKS, blocks: tup
 def report(rows: DataFrame, columns: list[str], digits: int = 3, most: int = 1000) -> str:
     """A rounded table as text, for the console; at most ``most`` rows are fetched, and the text says if there are more."""
     kinds = dict(rows.dtypes)
-    shown = rows.select(*[F.bround(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns]).limit(most + 1).collect()
+    shown = rows.select(*[F.bround(F.col(f"`{c}`"), digits).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in columns]).limit(most + 1).collect()
     cells = [columns, *[["" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v) for v in r] for r in shown[:most]]]
     widths = [max(map(len, column)) for column in zip(*cells)]
     lines = ["  ".join(v.rjust(w) for v, w in zip(row, widths)) for row in cells]

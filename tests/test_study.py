@@ -127,3 +127,27 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "features.csv").write_text("\n".join(lines) + "\n")
     study.main(["map", "--out", str(tmp_path)], spark)
     assert (tmp_path / "map.html").read_text().count("<circle") == 200 and "map.html" in capsys.readouterr().out
+
+
+def test_reports_of_the_studies(spark, tmp_path, monkeypatch, capsys):
+    columns = study.TABLE.split(", ")
+    lines = [",".join([c.split()[0] for c in columns] + ["draw"])]
+    for i in range(60):
+        row = {"label": str(i % 2), "abs_set": ("uniform", "presence")[i % 2], "accuracy_km": "1.0", "inside": "true", "event_id": "", "event_date": "", "x": f"{1000.0 * i}", "y": "0.0"}
+        lines.append(",".join([row.get(c.split()[0], "1.5") for c in columns] + ["0"]))
+    (tmp_path / "features_draws.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "features.csv").write_text("\n".join(line.rsplit(",", 1)[0] for line in lines) + "\n")
+    seen = []
+    scores = [("uniform", f"m{i}", 5.0, 50, b, 10, 20, 0.9, 0.7 + i / 100, 0.2, 0.8, 0.6, 0.01, 5.0) for i in range(3) for b in (0, 10)]
+    schema = "abs_set string, model string, cutoff_km double, block_km int, buffer_km int, n_pres int, n_abs int, random_auroc double, spatial_auroc double, gap double, random_prauc double, spatial_prauc double, spatial_auroc_sd_over_seeds double, spatial_folds_scored double"
+    monkeypatch.setattr(study.experiment, "baselines", lambda table: seen.append(table.count()) or spark.createDataFrame(scores, schema))
+    study.main(["baselines", "--out", str(tmp_path)], spark)
+    said = capsys.readouterr().out
+    assert said.index("m2") < said.index("m0") and "0.720" in said and "5.0_50_10" in said and said.count("uniform") == 9
+    monkeypatch.setattr(study.experiment, "absence_variation", lambda table: seen.append(table.where("draw = 0").count()) or spark.createDataFrame([("uniform", d, "m", 20, 0.6 + d / 10, 0.1) for d in range(3)], "abs_set string, draw int, model string, n_abs int, spatial_auroc double, gap double"))
+    study.main(["draws", "--out", str(tmp_path)], spark)
+    assert "0.700" in capsys.readouterr().out
+    monkeypatch.setattr(study.experiment, "leakage", lambda table: seen.append(table.count()) or spark.createDataFrame([("uniform", 50, "terrain", 0.9, 0.6, 0.3, 5.0)], "abs_set string, block_km int, features string, random_auroc double, spatial_auroc double, gap double, spatial_folds_scored double"))
+    study.main(["leakage", "--out", str(tmp_path)], spark)
+    said = capsys.readouterr().out
+    assert "terrain" in said and "p50" in said and " 2.0" in said and seen == [60, 60, 60]
