@@ -9,8 +9,9 @@
    most of every group.
 4. Then the buckets whose classes are not yet in one component are worked through whole. They are dealt into blocks of
    bounded size; pairs of blocks are tasks, but for two blocks of the component that most of the bucket is in. Sketches
-   alone travel first and flag the classes that a class of another component may be alike to; only these travel again
-   with their full sets, are taken most alike first, and confirmed unless already linked. A task returns a spanning forest.
+   alone travel first. Where few pairs of different components may be alike, a task names these, and each pair meets its two full
+   sets once, whatever buckets it shares. Where they outnumber the classes in them, these classes travel again with their full
+   sets; the most alike are taken first, confirmed unless already linked, and the task returns a spanning forest.
 5. The components of the confirmed links are the answer.
 
 So work follows the sizes of buckets that hold different components, not those of the chains that buckets form. A pair at exactly
@@ -46,6 +47,8 @@ LANES = SKETCH_BITS // 64
 MOST_APART = 145
 #: A block has about so many classes and shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 384, 1_500_000
+#: Pairs of one class that meet its set in one task.
+PAIRS_A_TASK = 2048
 
 _random = np.random.default_rng(20_24)
 _TIMES = _random.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -195,8 +198,17 @@ _DEALT = "band long, lo int, hi int, block int, node long, part long, n long, sk
 
 
 def _flagged(rows: pa.Table) -> pa.RecordBatch:
-    """The rows that are in any candidate pair of their task."""
-    found = rows.take(pa.array(np.unique(_pairs_of(rows)[:, 1:]))).combine_chunks()
+    """The candidate pairs of a task (``node`` and ``other``), if they are no more than the rows in them; else these rows, whose
+    ``other`` is null. So what leaves a task never outgrows what came."""
+    pairs = _pairs_of(rows)[:, 1:]
+    held = np.unique(pairs)
+    node = rows.column("node").to_numpy()
+    if len(pairs) <= len(held):
+        ends = np.sort(node[pairs], axis=1)
+        found = rows.take(pa.array(pairs[:, 0])).set_column(rows.column_names.index("node"), "node", pa.array(ends[:, 0])).append_column("other", pa.array(ends[:, 1], pa.int64()))
+    else:
+        found = rows.take(pa.array(held)).append_column("other", pa.nulls(len(held), pa.int64()))
+    found = found.combine_chunks()
     return pa.RecordBatch.from_arrays([c.combine_chunks() for c in found.columns], names=found.column_names)
 
 
@@ -267,18 +279,29 @@ def _links(source: DataFrame, classes: DataFrame) -> DataFrame:
     ties = ties.join(marks, "node").join(materialize(marks.join(ties.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivots"), "pivot")
     apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("ps")[i])) for i in range(1, LANES)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("ps")[0])))
     near = ties.withColumn("apart", apart).where((F.col("apart") <= MOST_APART) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
-    best = materialize(near.groupBy("node").agg(F.min(F.struct("apart", "pivot"))["pivot"].alias("pivot")), "best")
-    with_pivot = best.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("sv")), "pivot")
-    pairs = with_pivot.join(sets, "node").select(F.col("node").alias("u"), F.col("pivot").alias("v"), F.col("shingles").alias("su"), "sv")
-    stars = materialize(pairs.mapInArrow(_hold, "u long, v long"), "stars")
-
+    best = materialize(near.groupBy("node").agg(F.min(F.struct("apart", "pivot"))["pivot"].alias("v")).withColumnRenamed("node", "u"), "best")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (u, v) those that hold on the full sets. A v of many pairs, as the pivot of a large group is, sends its set to
+        several tasks, each of which takes about ``PAIRS_A_TASK`` of them."""
+        parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("parts"))
+        parts = materialize(parts, "pair-parts")  # so that the join may split it
+        dealt = pairs.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), "parts").cast("int").alias("salt"))
+        sent = sets.withColumnRenamed("node", "v").join(parts, "v").select("v", F.col("shingles").alias("sv"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        both = dealt.join(sent, ["v", "salt"]).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
+        return both.select("u", "v", "su", "sv").mapInArrow(_hold, "u long, v long")
+
+    stars = materialize(alike(best), "stars")
     parts = materialize(connected_components(stars), "parts")
     dealt = _open_tasks(met.select("band", "node"), parts, marks)
     in_order = lambda df: df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    flagged = materialize(in_order(dealt).mapInArrow(_per_task(_flagged), _DEALT), "flagged")
-    rest = in_order(flagged.join(sets, "node").select(*flagged.columns, "shingles")).mapInArrow(_per_task(_confirmed), "u long, v long")
-    found = materialize(stars.unionByName(rest), "found")
-    release(met, sets, best, stars, parts, flagged)
+    flagged = materialize(in_order(dealt).mapInArrow(_per_task(_flagged), _DEALT + ", other long"), "flagged")
+    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = materialize(flagged.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    crowds = flagged.where("other is null").drop("other")
+    crowds = in_order(crowds.join(sets, "node").select(*crowds.columns, "shingles")).mapInArrow(_per_task(_confirmed), "u long, v long")
+    found = materialize(stars.unionByName(alike(pairs)).unionByName(crowds), "found")
+    release(met, sets, best, stars, parts, flagged, pairs)
     return found
 
 

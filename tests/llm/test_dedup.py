@@ -202,6 +202,7 @@ def edited_group(n, seed):
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     rows = edited_group(140, 1) + edited_group(30, 2) + [(5, "one two"), (6, "ONE two"), (7, "two one"), (8, ""), (9, None), (10, " \t")]
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 20)  # many blocks
+    monkeypatch.setattr(near_dup, "PAIRS_A_TASK", 7)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
     assert got == brute_components(rows)
@@ -245,6 +246,21 @@ def test_a_chain_of_near_copies_takes_work_in_proportion(spark, monkeypatch):
     assert dealt[1] <= 6 * dealt[0] + 100 and dealt[1] < 40 * 1500
 
 
+def test_a_task_names_few_pairs_or_many_rows():
+    import pyarrow as pa
+
+    def task(parts, blocks):
+        n = len(parts)
+        columns = {"band": [1] * n, "lo": [0] * n, "hi": [max(blocks)] * n, "block": blocks, "node": [100 - i for i in range(n)], "part": parts, "n": [50] * n, "sketch": [[7] * 8] * n}
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return near_dup._flagged(pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds)})).to_pylist()
+
+    assert [(r["node"], r["other"]) for r in task([1, 2], [0, 0])] == [(99, 100)]
+    assert [(r["node"], r["other"]) for r in task([1, 1, 2], [0, 0, 1])] == [(98, 100), (98, 99)]
+    assert [(r["node"], r["other"]) for r in task([1, 2, 3, 4], [0, 0, 0, 0])] == [(100, None), (99, None), (98, None), (97, None)]
+    assert task([1, 1, 1], [0, 0, 0]) == []
+
+
 def test_many_rows_without_id_are_told_apart_by_text(spark):
     rows = [(None, " ".join(f"t{i}w{j}" for j in range(30)) + " end" * (k % 2)) for i in range(150) for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
