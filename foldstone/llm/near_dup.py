@@ -6,13 +6,13 @@
 2. Documents of one set are a class; only classes go on, so a group of copies, however large, is one row.
 3. Classes that share a band key, a bucket, are candidates. First each is held against the smallest class of each of its
    buckets, by size and sketch, and against the most alike of these on the full sets. That is one pair a class, and it joins
-   most of every group.
+   most of every group: a forest, whose trees' roots name the parts.
 4. Then the buckets whose classes are not yet in one component are worked through whole. They are dealt into blocks of
    bounded size; pairs of blocks are tasks, but for two blocks of the component that most of the bucket is in. Sketches
    alone travel first. Where few pairs of different components may be alike, a task names these, and each pair meets its two full
    sets once, whatever buckets it shares. Where they outnumber the classes in them, these classes travel again with their full
    sets; the most alike are taken first, confirmed unless already linked, and the task returns a spanning forest.
-5. The components of the confirmed links are the answer.
+5. The links that step 4 confirms are links of parts; the components of these, few beside the classes, are the answer.
 
 So work follows the sizes of buckets that hold different components, not those of the chains that buckets form. A pair at exactly
 0.75 shares no band with probability (1 - 0.75 ** 5) ** 40, about 2e-5, and less above; the sketch's limit lies five
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.components import connected_components
+from foldstone.llm.components import connected_components, forest_roots
 from foldstone.llm.text import as_bytes, fresh, mix, per_slice, slices, space_words, windows, word_hashes
 from foldstone.session import materialize, release, ship
 
@@ -198,31 +198,34 @@ _DEALT = "band long, lo int, hi int, block int, node long, part long, n long, sk
 
 
 def _flagged(rows: pa.Table) -> pa.RecordBatch:
-    """The candidate pairs of a task (``node`` and ``other``), if they are no more than the rows in them; else these rows, whose
-    ``other`` is null. So what leaves a task never outgrows what came."""
+    """The candidate pairs of a task (``node`` and ``other``, with their parts), if they are no more than the rows in them; else
+    these rows, whose ``other`` is null. So what leaves a task never outgrows what came."""
     pairs = _pairs_of(rows)[:, 1:]
     held = np.unique(pairs)
     node = rows.column("node").to_numpy()
     if len(pairs) <= len(held):
-        ends = np.sort(node[pairs], axis=1)
-        found = rows.take(pa.array(pairs[:, 0])).set_column(rows.column_names.index("node"), "node", pa.array(ends[:, 0])).append_column("other", pa.array(ends[:, 1], pa.int64()))
+        turned = (node[pairs[:, 0]] > node[pairs[:, 1]])[:, None]
+        ends = np.where(turned, pairs[:, ::-1], pairs)
+        found, other = rows.take(pa.array(ends[:, 0])), rows.select(["node", "part"]).take(pa.array(ends[:, 1])).columns
     else:
-        found = rows.take(pa.array(held)).append_column("other", pa.nulls(len(held), pa.int64()))
-    found = found.combine_chunks()
+        found, other = rows.take(pa.array(held)), [pa.nulls(len(held), pa.int64())] * 2
+    found = found.append_column("other", other[0]).append_column("other_part", other[1]).combine_chunks()
     return pa.RecordBatch.from_arrays([c.combine_chunks() for c in found.columns], names=found.column_names)
 
 
 def _confirmed(rows: pa.Table) -> pa.RecordBatch:
+    """The links of parts that a task confirms."""
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    links = spanning_links(_pairs_of(rows), rows.column("node").to_numpy(), rows.column("part").to_numpy(), sets)
+    part = rows.column("part").to_numpy()
+    links = spanning_links(_pairs_of(rows), part, part, sets)
     return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
 
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (u, v, su, sv) those whose sets are alike."""
+    """Of rows with sets su and sv those whose sets are alike, without these."""
     for batch in batches:
         alike = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("su"), batch.column("sv"))]
-        yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+        yield batch.drop_columns(["su", "sv"]).filter(pa.array(alike, pa.bool_()))
 
 
 def _sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,8 +268,9 @@ def _open_tasks(met: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame
     return dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "n", "sketch")
 
 
-def _links(source: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) whose components are those of all linked pairs of ``classes``."""
+def _parts(source: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The part of each of ``classes`` that has a link to its pivot (node, part; any other is a part by itself), and the label of
+    each part that has links to others (part, label): equal labels are components of all linked pairs."""
     bands = classes.select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     buckets = materialize(buckets, "buckets")  # so that the join may split a bucket of many classes
@@ -275,34 +279,36 @@ def _links(source: DataFrame, classes: DataFrame) -> DataFrame:
     marks = classes.select("node", "n", "sketch")
     sets = materialize(_sets_of(source, classes.join(met.select("node").distinct(), "node").select("node", "at", "h1", "h2")), "sets")
 
-    ties = met.where("node <> pivot").select("node", "pivot").distinct()
-    ties = ties.join(marks, "node").join(materialize(marks.join(ties.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivots"), "pivot")
+    pivots = materialize(marks.join(met.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "pivots")
+    ties = met.where("node <> pivot").select("node", "pivot").repartition("node").distinct()  # a class has at most BANDS rows
+    ties = ties.join(marks, "node").join(pivots, "pivot")
     apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("ps")[i])) for i in range(1, LANES)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("ps")[0])))
     near = ties.withColumn("apart", apart).where((F.col("apart") <= MOST_APART) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
     best = materialize(near.groupBy("node").agg(F.min(F.struct("apart", "pivot"))["pivot"].alias("v")).withColumnRenamed("node", "u"), "best")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (u, v) those that hold on the full sets. A v of many pairs, as the pivot of a large group is, sends its set to
-        several tasks, each of which takes about ``PAIRS_A_TASK`` of them."""
+        """Of ``pairs`` (u, v, further columns) those that hold on the full sets, as (u, v, further ones). A v of many pairs, as the pivot
+        of a large group is, sends its set to several tasks, each of which takes about ``PAIRS_A_TASK`` of them."""
         parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("parts"))
         parts = materialize(parts, "pair-parts")  # so that the join may split it
-        dealt = pairs.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), "parts").cast("int").alias("salt"))
+        dealt = pairs.join(parts, "v").select(*pairs.columns, F.pmod(F.xxhash64("u"), "parts").cast("int").alias("salt"))
         sent = sets.withColumnRenamed("node", "v").join(parts, "v").select("v", F.col("shingles").alias("sv"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
         both = dealt.join(sent, ["v", "salt"]).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-        return both.select("u", "v", "su", "sv").mapInArrow(_hold, "u long, v long")
+        return both.select(*pairs.columns, "su", "sv").mapInArrow(_hold, ", ".join(f"{c} long" for c in pairs.columns))
 
-    stars = materialize(alike(best), "stars")
-    parts = materialize(connected_components(stars), "parts")
+    parts = forest_roots(alike(best))  # a pivot is the smallest of its bucket
     dealt = _open_tasks(met.select("band", "node"), parts, marks)
     in_order = lambda df: df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    flagged = materialize(in_order(dealt).mapInArrow(_per_task(_flagged), _DEALT + ", other long"), "flagged")
+    flagged = materialize(in_order(dealt).mapInArrow(_per_task(_flagged), _DEALT + ", other long, other_part long"), "flagged")
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = materialize(flagged.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    crowds = flagged.where("other is null").drop("other")
+    named = flagged.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"), F.col("part").alias("pu"), F.col("other_part").alias("pv"))
+    pairs = materialize(named.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+    crowds = flagged.where("other is null").drop("other", "other_part")
     crowds = in_order(crowds.join(sets, "node").select(*crowds.columns, "shingles")).mapInArrow(_per_task(_confirmed), "u long, v long")
-    found = materialize(stars.unionByName(alike(pairs)).unionByName(crowds), "found")
-    release(met, sets, best, stars, parts, flagged, pairs)
-    return found
+    links = alike(pairs).select(F.col("pu").alias("u"), F.col("pv").alias("v")).unionByName(crowds)
+    labels = connected_components(links)
+    release(met, sets, best, pivots, flagged, pairs)
+    return parts.withColumnRenamed("label", "part"), labels.withColumnRenamed("node", "part")
 
 
 def _linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,8 +320,9 @@ def _linked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = materialize(per_slice(keyed, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, bands array<long>" + more), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "k1")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    groups = connected_components(_links(source, classes))
-    named = classes.select("node", "h1", "h2", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts, labels = _parts(source, classes)
+    named = classes.select("node", "h1", "h2", "doc_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    named = named.join(labels, "part", "left").withColumn("label", F.coalesce("label", "part")).drop("part")
     return signed, materialize(named, "labelled")
 
 

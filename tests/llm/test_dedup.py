@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldstone.llm import line_chunks, near_dup, packing, quality, queries, secrets
+from foldstone.llm import components, line_chunks, near_dup, packing, quality, queries, secrets
 from foldstone.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +30,38 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_write_few_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, write=components.materialize: written.append(name) or write(df, name))
+    stars = [(10 * i + j, 10 * i) for i in range(40) for j in range(1, 8)]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {10 * i + j: 10 * i for i in range(40) for j in range(8)}
+    assert written == ["links", "least"]  # finished links are seen before another round is written
+
+
+def test_near_duplicates_link_parts_only(spark, monkeypatch):
+    linked, below = [], []
+    monkeypatch.setattr(near_dup, "forest_roots", lambda links: components.forest_roots(below.append(links.collect()) or links))
+    monkeypatch.setattr(near_dup, "connected_components", lambda links: connected_components(linked.append(links.collect()) or links))
+    rows = edited_group(140, 1) + [(i, " ".join(f"w{j}" for j in range(10 * i, 10 * i + 100))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+    # each class's link to its pivot is settled before: what is left links roots
+    assert len(linked) == len(below) == 1 and below[0] and linked[0]
+    assert not {r["u"] for r in below[0]} & {x for r in linked[0] for x in (r["u"], r["v"])}
+
+
+def test_forest_roots(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, write=components.materialize: written.append(name) or write(df, name))
+    links = [(i + 1, i) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(2001, 2000), (2003, 2001), (2002, 2000)]
+    got = {r["node"]: r["label"] for r in components.forest_roots(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {u: 0 if u <= 200 else u // 1000 * 1000 for u, _ in links}
+    assert len(written) <= 10
+    assert components.forest_roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # --- 3 line dedup
 
 
