@@ -11,6 +11,7 @@ so the passage goes whole, however its lines are chunked. A line goes with an ea
 
 Only 128-bit hashes and places are shuffled to find repeats; digests travel for repeated chunks alone; the texts are
 shuffled once, to meet their marks. A chunk that half of all documents share is counted map-side, and joined as a skewed key.
+Two tables are written on the way, ``chunks`` and ``marked``; a worker holds one text's chunks and ``MOST_ROWS`` rows at a time.
 
 Defined cases: null texts stay null, empty texts empty; chunks of fewer than ``LEAST`` words stay; a document of which
 nothing is left has an empty text; rows of equal id and text are one document and keep the same lines, while rows of one id with
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from foldstone.llm.text import as_bytes, fresh, slices
 from foldstone.session import materialize, release, ship
 
 WINDOW, DIVISOR, LONG, LEAST, MOST_LINES = 2, 3, 50, 10, 64
+MOST_ROWS = 20_000
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -92,19 +95,25 @@ def _key() -> list[Column]:
     return [F.col("doc_id").cast("long"), F.xxhash64("text")]
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, MOST_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+def _chunk_rows(part: pa.RecordBatch, bits: int, passages: bool) -> Iterator[tuple]:
+    for doc, key, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), as_bytes(part.column("text"))):
+        lines = text.split(b"\n")
+        for a, b in looked_up(lines, passages):
+            yield _hash(b"\n".join(lines[a:b]), bits), doc, key, a, b - a
+
+
 def _chunks(docs: DataFrame, bits: int, passages: bool) -> DataFrame:
     schema = pa.schema([("hash", pa.binary()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[] for _ in schema]
-                for doc, key, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), as_bytes(part.column("text"))):
-                    lines = text.split(b"\n")
-                    for a, b in looked_up(lines, passages):
-                        for column, value in zip(out, (_hash(b"\n".join(lines[a:b]), bits), doc, key, a, b - a)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                yield from _batches(_chunk_rows(part, bits, passages), schema)
 
     key = _key()
     return docs.select(key[0].alias("id"), key[1].alias("text_key"), "text").mapInArrow(over, "hash binary, id long, text_key long, place int, size int")
@@ -116,36 +125,39 @@ def _marked(docs: DataFrame, names: list[str], bits: int, passages: bool) -> Dat
     id_, key, marks_, _ = names
     chunks = materialize(_chunks(docs, bits, passages), "chunks")
     here = F.struct("id", "text_key", "place", "size")
-    several = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").drop("c")
-    several = materialize(several, "several")  # so that the join may split a chunk with many places
+    several = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1")
+    several = several.select(F.concat("hash", F.lit(b"")).alias("repeated"), "first")  # dealt anew: the join may split a chunk with many places
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("place") < F.col("first.place") + F.col("first.size"))
-    marks = chunks.join(several, "hash").select("id", "text_key", F.struct("place", "size", "hash", here.eqNullSafe(F.col("first")).alias("first"), overlaps.alias("overlaps")).alias("mark"))
+    marks = chunks.join(several, F.col("hash") == F.col("repeated")).select("id", "text_key", F.struct("place", "size", "hash", here.eqNullSafe(F.col("first")).alias("first"), overlaps.alias("overlaps")).alias("mark"))
     marks = marks.groupBy("id", "text_key").agg(F.collect_set("mark").alias(marks_))
     keyed = docs.withColumns(dict(zip((id_, key), _key())))
     met = keyed.join(marks, keyed[id_].eqNullSafe(marks["id"]) & (keyed[key] == marks["text_key"]), "left")
-    found = materialize(met.select(*[keyed[f"`{c}`"] for c in keyed.columns], marks[marks_]), "marked")
-    release(chunks, several)
+    found = materialize(met.select(*[keyed[f"`{c}`"] for c in keyed.columns], marks[marks_]), "marked", "zstd")
+    release(chunks)
     return found
 
 
-def _refuted(marked: DataFrame) -> DataFrame:
+def _digests(part: pa.RecordBatch) -> Iterator[tuple]:
+    for doc, key, marks, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), part.column("marks"), as_bytes(part.column("text"))):
+        lines = text.split(b"\n")
+        for m in marks.as_py():
+            data = b"\n".join(lines[m["place"] : m["place"] + m["size"]])
+            yield m["hash"], m["first"], doc, key, m["place"], m["size"], blake2b(data, digest_size=32).digest()
+
+
+def _refuted(marked: DataFrame) -> DataFrame | None:
     """(bad_id, bad_key, places) of rows (id, text_key, marks, text) whose marked chunks' bytes are not those of the first with
-    their hash."""
+    their hash; None where there are none: then the least and the largest digest of each hash are one."""
     schema = pa.schema([("hash", pa.binary()), ("first", pa.bool_()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[] for _ in schema]
-                for doc, key, marks, text in zip(part.column("id").to_pylist(), part.column("text_key").to_pylist(), part.column("marks").to_pylist(), as_bytes(part.column("text"))):
-                    lines = text.split(b"\n")
-                    for m in marks:
-                        data = b"\n".join(lines[m["place"] : m["place"] + m["size"]])
-                        for column, value in zip(out, (m["hash"], m["first"], doc, key, m["place"], m["size"], blake2b(data, digest_size=32).digest())):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                yield from _batches(_digests(part), schema)
 
     rows = marked.where("marks is not null").mapInArrow(over, "hash binary, first boolean, id long, text_key long, place int, size int, digest binary")
+    if not rows.groupBy("hash").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").count():
+        return None
     rows = materialize(rows, "places")
     firsts = materialize(rows.where("first").groupBy("hash").agg(F.min("digest").alias("kept")), "firsts")
     unlike = rows.where("not first").join(firsts, "hash").where("digest <> kept")
@@ -164,7 +176,7 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passag
     marked = _marked(docs, own, bits, passages)
     refuted = _refuted(marked.select(F.col(id_).alias("id"), F.col(key).alias("text_key"), F.col(marks_).alias("marks"), "text"))
     given = [marked[f"`{c}`"] for c in names]
-    if refuted.limit(1).count():
+    if refuted is not None:
         met = marked[id_].eqNullSafe(refuted["bad_id"]) & (marked[key] == refuted["bad_key"])
         marked = marked.join(refuted, met, "left").select(*given, marked[marks_], refuted["places"].alias(unlike_))
     else:
@@ -176,11 +188,11 @@ def remove_repeats(docs: DataFrame, extra: bool = False, bits: int = 128, passag
         for batch in batches:
             for part in slices(batch):
                 texts, before, gone = part.column("text").to_pylist(), [], []
-                for i, (text, marks, unlike) in enumerate(zip(texts, part.column(marks_).to_pylist(), part.column(unlike_).to_pylist())):
+                for i, (text, marks, unlike) in enumerate(zip(texts, part.column(marks_), part.column(unlike_))):
                     lines = (text or "").encode().split(b"\n")
                     before.append(len(lines) if text else 0)
-                    spans = {(m["place"], m["size"]) for m in marks or () if not m["first"] and not m["overlaps"]}
-                    drop = {k for place, size in spans.difference((u["place"], u["size"]) for u in unlike or ()) for k in range(place, place + size)}
+                    spans = {(m["place"], m["size"]) for m in marks.as_py() or () if not m["first"] and not m["overlaps"]}
+                    drop = {k for place, size in spans.difference((u["place"], u["size"]) for u in unlike.as_py() or ()) for k in range(place, place + size)}
                     keep = [line for k, line in enumerate(lines) if k not in drop]
                     gone.append(len(lines) - len(keep))
                     if drop:

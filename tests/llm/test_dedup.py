@@ -195,6 +195,37 @@ def test_repeated_passages_go_whole(spark):
     assert all(lines[d] == (len(passages[d // 10]) if d % 10 else 0) for d in own)
 
 
+def test_line_dedup_writes_two_tables(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(line_chunks, "materialize", lambda df, name, *more, write=line_chunks.materialize: written.setdefault(name, df) and write(df, name, *more))
+    passage = "\n".join(" ".join(f"l{j}w{k}" for k in range(30)) for j in range(3))
+    docs = spark.createDataFrame([(i, f"own {i}\n{passage}") for i in range(9)], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["text"] for r in line_chunks.remove_repeats(docs, passages=True).collect()}
+        plan = written["marked"]._jdf.queryExecution().sparkPlan().toString(), written["marked"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: f"own {i}" + f"\n{passage}" * (i == 0) for i in range(9)}
+    assert list(written) == ["chunks", "marked"]
+    # both sides of the chunks' join are dealt for it alone, so a chunk with many places may be split
+    assert "SortMergeJoin [hash" in plan[0] and "hashpartitioning(repeated" in plan[1]
+
+
+def test_line_dedup_worker_holds_few_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_chunks, "MOST_ROWS", 1000)
+    texts = ["\n".join(f"d{d}l{i}" for i in range(2000)) for d in range(3)]
+    part = pa.RecordBatch.from_pydict({"id": [0, 1, 2], "text_key": [7, 8, 9], "text": texts})
+    schema = pa.schema([("hash", pa.binary()), ("id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
+    got = list(line_chunks._batches(line_chunks._chunk_rows(part, 128, True), schema))
+    assert len(got) > 3 and all(b.num_rows <= 1000 for b in got)
+    spans = [(i, a, b - a) for i, t in enumerate(texts) for a, b in line_chunks.looked_up(t.encode().split(b"\n"), True)]
+    assert [(r["id"], r["place"], r["size"]) for b in got for r in b.to_pylist()] == spans
+
+
 # --- 7 near duplicates
 
 
