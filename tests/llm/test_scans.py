@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from foldstone.llm import bpe, licenses, multiset, packing, quality, ring, secrets, toxicity
+from foldstone.llm import bpe, licenses, multiset, packing, quality, queries, ring, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -63,6 +63,24 @@ def test_license_blocks_alone_and_their_likes(spark):
     assert [found[i] for i in range(9)] == ["cc-by", "cc-by-nc", "cc-by-sa", "", "gpl", "agpl", "bsd", "mit", "apache-2"] and found[100] == ""
 
 
+def test_license_query_counts_the_phrases_of_its_contract(spark, tmp_path):
+    texts = ["The MIT license, or: released UNDER the\nMIT-License. CC BY-NC; under the mit license", "the MIT license", "under the mit licenses", "Apache License, Version 2.0", "apache license version 20", "cc by nc cc by nc", "", None]
+    rows = [*enumerate(texts), (7, "under the mit license"), (None, "under the mit license"), (None, "mit license")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+    def base(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        hits = [(i, label) for p, label in phrases.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in hits]
+        return len(ws), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in hits}))
+
+    got = queries.op1_license_scan(spark, str(tmp_path)).collect()
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(((i, *base(t)) for i, t in rows), key=str)
+    assert {r["doc_id"]: (r["n_base"], r["labels"], r["score"]) for r in got if r["doc_id"] in (1, 2)} == {1: (0, "mit", 1.0), 2: (0, "", 0.0)}
+
+
 # --- 2 secrets
 
 
